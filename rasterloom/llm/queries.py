@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, sharding, simhash, suffixes, toxicity, urls
+from . import decontaminate, embeddings, language, packing, quality, sharding, simhash, suffixes, toxicity, urls
 from .common import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE_SQL, "op5_sharding": sharding.oracle_sql(), "op9_url_filter": urls.ORACLE_SQL}
+    return {"op1_embeddings": embeddings.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op5_sharding": sharding.oracle_sql(), "op9_url_filter": urls.ORACLE_SQL}
