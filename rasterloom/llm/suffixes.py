@@ -8,13 +8,15 @@ ascending order of the two. A new batch gets its array and is merged with the ex
 that finds the keys that meet others; two levels of equal size are then merged into one of the next size.
 
 Where the second hash of an entry has come before, all its strings are repeated. Where only the first has, the
-strings are compared one by one, by a hash of their own. Two different strings are taken for equal only if both
-hashes of 64 bits agree.
+bytes around the anchor go to the other ends of the match, once for each entry, and the strings in them are
+compared one by one, by a hash of their own. Two different strings are taken for equal only if both hashes of
+64 bits agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ from .common import cut, shared_dir
 LENGTH, KEY, BATCHES = 400, 200, 4
 #: Bytes that are hashed at a time; a longer text is read in stretches that overlap by length - 1.
 CHUNK = 1 << 19
+#: Entries of one key that are compared in one task; the strings of what has more are dealt out by their hashes.
+CROWDED = 4096
 #: Bits for each key, and the most bits, of the filters that spare the second pass most entries. Exact joins follow.
 FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 28
 
@@ -58,6 +62,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of which a difference, times the second array's entry of its first place, is the hash of what lies between."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
+    return sums, _power(_INVERSE, len(data))
+
+
 class Stretch:
     """Anchors of the strings of a few texts laid end to end."""
 
@@ -68,9 +79,8 @@ class Stretch:
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
         n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * _power(_BASE, n), out=self.sums[1:])
-        self.back = _power(_INVERSE, n)
+        self.data = data
+        self.sums, self.back = _sums(data)
         keys = _mix((self.sums[key:] - self.sums[:-key]) * self.back[: n - key + 1])
         low = (keys & ~_PLACE) | np.arange(len(keys), dtype=np.uint64)
         left, width = length - key + 1, 1
@@ -97,12 +107,20 @@ class Stretch:
     def _hash(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[first]) * self.back[first]
 
-    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the strings of the chosen anchors: the anchor's number, first byte, hash."""
-        count = self.last[chosen] - self.first[chosen] + 1
-        owner = np.repeat(chosen, count)
-        at = self.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        return owner, at, _mix(self._hash(at, at + self.length))
+    def around(self, i: int) -> bytes:
+        """All bytes of the strings of anchor i."""
+        return self.data[self.first[i] : self.last[i] + self.length].tobytes()
+
+
+def _strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of each context: the context's number, the string's place in it, its hash."""
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    begin, count = np.cumsum(sizes) - sizes, sizes - length + 1
+    sums, back = _sums(np.frombuffer(b"".join(contexts), np.uint8))
+    owner = np.repeat(np.arange(len(contexts)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[owner] + place
+    return owner, place, _mix((sums[at + length] - sums[at]) * back[at])
 
 
 def _stretches(texts: Iterator[bytes | None], length: int, key: int) -> Iterator[Stretch]:
@@ -260,22 +278,58 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             texts = [x.as_py() for x in b.column(0)]
             id1 = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in texts), np.uint64, len(texts)).view(np.int64)
             id2 = np.fromiter(((zlib.crc32(x) << 31) + len(x) for x in texts), np.int64, len(texts))
+            sent: set[tuple[int, int]] = set()
             for s in _stretches(iter(texts), length, key):
                 full = np.flatnonzero(_in(whole_filter, s.whole))
-                part = np.flatnonzero(_in(key_filter, s.key))
-                owner, at, hashed = s.strings(part)
-                every = np.concatenate((full, owner))
-                columns = [
-                    np.concatenate((np.zeros(len(full), np.int32), np.ones(len(owner), np.int32))), s.key[every].view(np.int64), np.concatenate((s.whole[full], hashed)).view(np.int64), id1[s.text[every]], id2[s.text[every]],
-                    np.concatenate((s.first[full], at)) + s.shift[every], np.concatenate((s.last[full], at)) + s.shift[every],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "key", "hash", "id1", "id2", "first", "last"])
-
-    rows = cut(_bytes_of(data, "__text").mapInArrow(run, "one int, key long, hash long, id1 long, id2 long, first long, last long"))
-    full = rows.where("one = 0").join(twice.select("key", F.col("whole").alias("hash")), ["key", "hash"], "left_semi").select("id1", "id2", "first", "last")
-    single = rows.where("one = 1")
-    again = single.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    full = full.union(single.join(again, ["key", "hash"], "left_semi").select("id1", "id2", "first", "last"))
+                part = []
+                for i in np.flatnonzero(_in(key_filter, s.key)).tolist():
+                    if (entry := (int(s.key[i]), int(s.whole[i]))) not in sent:  # equal entries have equal bytes
+                        sent.add(entry)
+                        part.append(i)
+                every = np.concatenate((full, np.array(part, np.int64)))
+                around = [None] * len(full) + [s.around(i) for i in part]
+                columns = [s.key[every].view(np.int64), s.whole[every].view(np.int64), id1[s.text[every]], id2[s.text[every]], s.first[every] + s.shift[every], s.last[every] + s.shift[every]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], ["key", "whole", "id1", "id2", "first", "last", "around"])
+
+    rows = cut(_bytes_of(data, "__text").mapInArrow(run, "key long, whole long, id1 long, id2 long, first long, last long, around binary"))
+    full = rows.where("around IS NULL").join(twice, ["key", "whole"], "left_semi").select("id1", "id2", "first", "last")
+    near = rows.where("around IS NOT NULL")
+    sizes = near.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    near = near.join(sizes, "key")
+    few = near.where(F.col("size") <= CROWDED).repartition("key").sortWithinPartitions("key").drop("size")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of keys: the strings that entries of one key share. A key's rows are held together, no more than CROWDED."""
+        rest: pa.RecordBatch | None = None
+        for b in itertools.chain(batches, (None,)):
+            if b is not None and not b.num_rows:
+                continue
+            if b is not None and rest is not None:
+                b = pa.concat_batches([rest, b])
+            held = rest if b is None else b
+            if held is None:
+                continue
+            keys = held.column(0).to_numpy()
+            end = len(keys) if b is None else int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            rest = held.slice(end)
+            yield from _shared(held.slice(0, end), length)
+
+    found = few.mapInArrow(compare, "id1 long, id2 long, first long, last long")
+    crowded = near.where(F.col("size") > CROWDED).drop("size")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                owner, place, hashed = _strings(part.column(6).to_pylist(), length)
+                first = part.column(4).to_numpy()[owner] + place
+                names = ["key", "whole", "id1", "id2", "first", "hash"]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(owner)) for i in range(4)), pa.array(first), pa.array(hashed.view(np.int64))], names)
+
+    single = crowded.mapInArrow(split, "key long, whole long, id1 long, id2 long, first long, hash long")
+    again = single.groupBy("key", "hash").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("key", "hash")
+    found = found.union(single.join(again, ["key", "hash"], "left_semi").select("id1", "id2", "first", F.col("first").alias("last")))
+    full = full.union(found)
     # Equal texts give equal rows; what is left of one text is no more than its length.
     listed = full.distinct().groupBy("id1", "id2").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
@@ -290,6 +344,37 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
     return listed.mapInArrow(join, "id1 long, id2 long, spans binary")
 
 
+def _shared(b: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """(id1, id2, first, last) of the strings that are in two or more different entries of a key."""
+    at, n = 0, b.num_rows
+    keys = b.column(0).to_numpy()
+    while at < n:
+        end = min(n, at + 1024)
+        while end < n and keys[end] == keys[end - 1]:
+            end += 1
+        part = b.slice(at, end - at)
+        at = end
+        entry = np.stack((part.column(0).to_numpy(), part.column(1).to_numpy()), axis=1)
+        _, once = np.unique(entry, axis=0, return_index=True)
+        part = part.take(pa.array(np.sort(once)))
+        owner, place, hashed = _strings(part.column(6).to_pylist(), length)
+        pairs = np.empty(len(owner), [("key", "<i8"), ("hash", "<u8")])
+        pairs["key"], pairs["hash"] = part.column(0).to_numpy()[owner], hashed
+        order = np.lexsort((pairs["hash"], pairs["key"]))
+        same = pairs[order][1:] == pairs[order][:-1]
+        twice = np.zeros(len(owner), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        hit = np.flatnonzero(twice)
+        if not len(hit):
+            continue
+        run = np.concatenate(([True], (owner[hit][1:] != owner[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)))
+        first, last = hit[run], hit[np.append(np.flatnonzero(run)[1:] - 1, len(hit) - 1)]
+        who, base = owner[first], part.column(4).to_numpy()
+        columns = [part.column(2).to_numpy()[who], part.column(3).to_numpy()[who], base[who] + place[first], base[who] + place[last]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["id1", "id2", "first", "last"])
+
+
 def _cover(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Disjoint [first, end) pairs that cover the same; touching ones are one."""
     order = np.argsort(first, kind="stable")

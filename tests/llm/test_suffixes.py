@@ -39,8 +39,9 @@ def corpus(seed):
     return texts + texts[10:14] + [texts[20][:-1], texts[21] + "!"]
 
 
-@pytest.mark.parametrize("seed,batches,chunk", [(1, 1, 1 << 19), (2, 4, 1 << 19), (3, 3, 64)])
-def test_against_brute_force(spark, monkeypatch, seed, batches, chunk):
+@pytest.mark.parametrize("seed,batches,chunk,crowded", [(1, 1, 1 << 19, 4096), (2, 4, 1 << 19, 3), (3, 3, 64, 4096), (4, 2, 64, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, batches, chunk, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     texts = corpus(seed)
     rows = [(i if i else None, t, "clash", 0) for i, t in enumerate(texts)]
