@@ -125,8 +125,9 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     rows = rows.where("e IS NOT NULL")
     # A class has a number of its own: ids may be null or repeat.
     classes = cut(rows.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
-    n = classes.count()
-    wanted = int(min(MOST_PIVOTS, max(1, n // per_cell)))
+    # Cells are of one label and one pivot, so the largest label sets how many pivots are worth their copies.
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = int(min(MOST_PIVOTS, max(1, largest // per_cell)))
     # Pivots: the vectors with the least hashes, so many at most; any choice gives the same links
     sizes = classes.groupBy(F.size("e").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     if not sizes:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -60,17 +60,17 @@ class Model:
             logs[at] = np.log(logs[at] / size)
         self.logs = logs
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log scores of a word by language; None where not even a character is known."""
+    def word(self, word: str) -> tuple[list[int], float]:
+        """Rows of `logs` for a word, and what each of them weighs; no rows where not even a character is known."""
         at = self.rows[0].get(word)
         if at is not None:
-            return self.logs[at]
+            return [at], 1.0
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             own = self.rows[n]
             found = [own[g] for g in grams(word, n) if g in own]
             if found:
-                return self.logs[found].mean(axis=0) * n / LONGEST
-        return None
+                return found, n / LONGEST / len(found)
+        return [], 0.0
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, modulus: int = MODULUS, rest: int = REST) -> Model:
@@ -82,33 +82,34 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     chosen = chosen.join(F.broadcast(ids), F.col("__doc") == F.col("__key")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, str], Counter] = {}
+        words: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(k, x, e, n) for (k, x), c in counts.items() for e, n in c.items()]
-            counts.clear()
+            rows = []
+            for x, own in words.items():
+                rows += [(0, x, w, k) for w, k in own.items()]
+                for n in range(1, LONGEST + 1):
+                    c: dict[str, int] = {}
+                    for w, k in own.items():
+                        for g in grams(w, n):
+                            c[g] = c.get(g, 0) + k
+                    rows += [(n, x, g, k) for g, k in c.items()]
+            words.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], ["kind", "lang", "entry", "n"])
 
         for b in batches:
             for t, x in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = Counter(words_of(t.as_py()))
-                counts.setdefault((0, x), Counter()).update(words)
-                for n in range(1, LONGEST + 1):
-                    c = counts.setdefault((n, x), Counter())
-                    for w, k in words.items():
-                        for g in grams(w, n):
-                            c[g] += k
-                if sum(map(len, counts.values())) > 500_000:
+                words.setdefault(x, Counter()).update(words_of(t.as_py()))
+                if sum(map(len, words.values())) > 200_000:
                     yield out()
         yield out()
 
     counted = cut(chosen.mapInArrow(run, "kind int, lang string, entry string, n long").groupBy("kind", "lang", "entry").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({x for _, x in totals})
-    kept: list[tuple[int, str, str, int]] = []
-    for kind, x in sorted(totals):
-        top = counted.where((F.col("kind") == kind) & (F.col("lang") == x)).orderBy(F.desc("n"), "entry").limit(ENTRIES)
-        kept += [(kind, x, r.entry, r.n) for r in top.collect()]
+    order = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry")
+    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ENTRIES).toArrow()
+    kept = sorted(zip(*(top[c].to_pylist() for c in ("kind", "lang", "entry", "n")), strict=True))
     return Model(languages, kept, totals)
 
 
@@ -125,7 +126,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         known = m.rows[0]
-        cached: dict[str, np.ndarray | None] = {}
+        cached: dict[str, tuple[list[int], float]] = {}
         for b in batches:
             names, scores = [], []
             for t in b.column(1):
@@ -134,24 +135,24 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                at, weight, rest_ = [], [], np.zeros(len(m.languages))
+                at: list[int] = []
+                weight: list[float] = []
                 for w, k in counts.items():
                     i = known.get(w)
                     if i is not None:
                         at.append(i)
                         weight.append(k)
                         continue
-                    if w in cached:
-                        v = cached[w]
-                    else:
+                    v = cached.get(w)
+                    if v is None:
                         v = m.word(w)
                         if len(w) <= 40:
                             if len(cached) >= CACHED:
                                 cached.clear()
                             cached[w] = v
-                    if v is not None:
-                        rest_ += k * v
-                total = (np.array(weight) @ m.logs[at] if at else 0) + rest_
+                    at += v[0]
+                    weight += [k * v[1]] * len(v[0])
+                total = np.array(weight) @ m.logs[at] if at else np.zeros(len(m.languages))
                 odds = np.exp(np.maximum(SHARE * (total - total.max()), -700))
                 best = int(np.argmax(odds))
                 names.append(m.languages[best])

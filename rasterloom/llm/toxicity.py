@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,117 +60,132 @@ class Trie:
             self.end[at] = number
 
 
-class Automaton:
-    """Levenshtein automaton of a word: a state maps places in the word to the edits that led there."""
+class Product:
+    """The Levenshtein automata of all terms, intersected with the trie and made deterministic as words go through it.
 
-    def __init__(self, word: str, edits: int) -> None:
-        self.word, self.edits = word, edits
-
-    def _close(self, state: dict[int, int]) -> dict[int, int]:
-        for i in sorted(state):  # leaving out characters of the word
-            e = state[i]
-            for j in range(i + 1, min(len(self.word), i + self.edits - e) + 1):
-                if state.get(j, self.edits + 1) > e + j - i:
-                    state[j] = e + j - i
-        return state
-
-    def start(self) -> dict[int, int]:
-        return self._close({0: 0})
+    A state is a set of trie nodes with the edits that led there, so all terms are met in one walk of a word. States
+    are kept up to a bound and then made anew.
+    """
 
-    def step(self, state: dict[int, int], c: str) -> dict[int, int]:
+    STATES = 50_000
+
+    def __init__(self, terms: list[str], edits: int) -> None:
+        self.trie, self.edits = Trie(terms), edits
+        self._reset()
+
+    def _reset(self) -> None:
+        self.states: list[dict[int, int]] = [{}]
+        self.numbers: dict[frozenset, int] = {frozenset(): 0}
+        self.moves: dict[tuple[int, str], int] = {}
+        self.start = self._state({0: 0})
+
+    def _state(self, nodes: dict[int, int]) -> int:
+        todo = list(nodes)
+        while todo:  # characters that the word leaves out
+            n = todo.pop()
+            if nodes[n] < self.edits:
+                for child in self.trie.next[n].values():
+                    if nodes.get(child, self.edits + 1) > nodes[n] + 1:
+                        nodes[child] = nodes[n] + 1
+                        todo.append(child)
+        key = frozenset(nodes.items())
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(nodes)
+        return self.numbers[key]
+
+    def _move(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
-        for i, e in state.items():
-            if i < len(self.word) and self.word[i] == c:
-                out[i + 1] = min(e, out.get(i + 1, e))
+        for n, e in self.states[state].items():
+            below = self.trie.next[n]
+            if c in below:
+                out[below[c]] = min(e, out.get(below[c], e))
             if e < self.edits:
-                out[i] = min(e + 1, out.get(i, e + 1))
-                if i < len(self.word):
-                    out[i + 1] = min(e + 1, out.get(i + 1, e + 1))
-        return self._close(out)
-
-    def accepts(self, state: dict[int, int]) -> int:
-        """Edits in all, or more than are allowed."""
-        return state.get(len(self.word), self.edits + 1)
-
-
-def intersect(word: str, trie: Trie, edits: int) -> tuple[int, int]:
-    """(edits, term) of the nearest term within `edits`, the first of equals by number; (edits + 1, -1) if none."""
-    automaton = Automaton(word, edits)
-    best = (edits + 1, -1)
-    todo = [(0, automaton.start())]
-    while todo:
-        node, state = todo.pop()
-        if trie.end[node] >= 0:
-            best = min(best, (automaton.accepts(state), trie.end[node])) if automaton.accepts(state) <= edits else best
-        for c, child in trie.next[node].items():
-            after = automaton.step(state, c)
-            if after:
-                todo.append((child, after))
-    return best
-
-
-def edits_for(word: str) -> int:
-    return 2 if len(word) >= TWO_EDITS else 1 if len(word) >= ONE_EDIT else 0
-
-
-def _mask(words: list[str]) -> np.ndarray:
-    """For each word the set of its characters, modulo 64."""
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64(63)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return np.bitwise_or.reduceat(np.uint64(1) << codes, np.cumsum(sizes) - sizes)
+                out[n] = min(e + 1, out.get(n, e + 1))
+                for child in below.values():
+                    out[child] = min(e + 1, out.get(child, e + 1))
+        after = self.moves[state, c] = self._state(out)
+        return after
+
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """(edits, term) of the nearest term that is long enough for so many edits, the first of equals by number."""
+        if len(self.states) > self.STATES:
+            self._reset()
+        at, moves = self.start, self.moves
+        for c in word:
+            after = moves.get((at, c))
+            at = self._move(at, c) if after is None else after
+            if not at:
+                return None
+        found = [(e, t) for n, e in self.states[at].items() if (t := self.trie.end[n]) >= 0]
+        return min(((e, t) for e, t in found if e <= self.allowed[t]), default=None) if found else None
+
+    #: Edits that each term's length allows.
+    @cached_property
+    def allowed(self) -> list[int]:
+        sizes = [0] * (max(self.trie.end) + 1)
+        todo = [(0, 0)]
+        while todo:
+            n, depth = todo.pop()
+            if self.trie.end[n] >= 0:
+                sizes[self.trie.end[n]] = depth
+            todo += [(child, depth + 1) for child in self.trie.next[n].values()]
+        return [edits_for_size(n) for n in sizes]
+
+
+def edits_for_size(n: int) -> int:
+    return 2 if n >= TWO_EDITS else 1 if n >= ONE_EDIT else 0
 
 
 @dataclass
 class Lexicon:
-    """Terms with weights (log odds), and the words that look like a term but are ordinary."""
+    """Terms with weights (log odds), weights of words near them, and the words that look like a term but are ordinary."""
 
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     ordinary: frozenset[str] = frozenset()
+    near: list[float] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.trie, self.exact = Trie(self.terms), {t: i for i, t in enumerate(self.terms)}
-        self.sizes = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
-        self.masks = _mask(self.terms) if self.terms else np.zeros(0, np.uint64)
+        self.exact = {t: i for i, t in enumerate(self.terms)}
+        self.products = [None, Product(self.terms, 1), Product(self.terms, 2)]
         self.known: dict[str, tuple[int, int] | None] = {}
 
-    def learn_words(self, words: set[str]) -> None:
-        """Find the terms of many words at a time: (term, edits) or None in `known`."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for w in fresh:
-            self.known[w] = (self.exact[w], 0) if w in self.exact else None
-        fuzzy = [w for w in fresh if self.known[w] is None and ONE_EDIT <= len(w) <= 40 and w not in self.ordinary]
-        if not fuzzy or not self.terms:
-            return
-        # An edit changes at most two characters of the set and one of the length; what differs more can't be near.
-        masks, sizes = _mask(fuzzy), np.fromiter(map(len, fuzzy), np.int64, len(fuzzy))
-        edits = np.where(sizes >= TWO_EDITS, 2, 1)
-        for at in range(0, len(fuzzy), 4096):
-            part = slice(at, at + 4096)
-            far = np.bitwise_count(masks[part, None] ^ self.masks[None, :])
-            close = (far <= 2 * edits[part, None]) & (np.abs(sizes[part, None] - self.sizes[None, :]) <= edits[part, None])
-            for i in np.flatnonzero(close.any(axis=1)).tolist():
-                w = fuzzy[at + i]
-                e, term = intersect(w, self.trie, edits_for(w))
-                if term >= 0 and edits_for(self.terms[term]) >= e:
-                    self.known[w] = (term, e)
+    def find(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of a word, if it is a term or a misspelled one."""
+        if word in self.exact:
+            return self.exact[word], 0
+        edits = edits_for_size(len(word))
+        if not edits or word in self.ordinary:
+            return None
+        found = self.products[edits].nearest(word)
+        return (found[1], found[0]) if found else None
+
+    def _learn(self, word: str) -> tuple[int, int] | None:
+        found = self.find(word)
+        if len(word) <= 40:
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def features(self, text: str | None) -> list[float]:
-        words = words_of(text)
-        self.learn_words({*words})
-        known = self.known
-        hits = [(i, known[w]) for i, w in enumerate(words) if known.get(w) is not None]
-        if not hits:
+        words, known = words_of(text), self.known
+        terms = {}
+        for w in {*words}:
+            found = known[w] if w in known else self._learn(w)
+            if found is not None:
+                terms[w] = found
+        if not terms:
             return [0.0] * len(FEATURES)
+        hits = [(i, terms[w]) for i, w in enumerate(words) if w in terms]
         # Places of words in the text and whether an odd number of quotation marks came before in the line
         low = text.lower()
         spans = [m.start() for m in _WORD.finditer(low)]
         direct = misspelled = quoted = crowded = person = strongest = 0.0
         places = [i for i, _ in hits]
         for n, (i, (term, e)) in enumerate(hits):
-            weight = self.weights[term]
+            weight = self.near[term] if e and self.near else self.weights[term]
             around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
             line = low.rfind("\n", 0, spans[i]) + 1
             marks = sum(1 for p in range(max(line, spans[i] - 400), spans[i]) if low[p] in _QUOTES and not (low[p] in "'’`" and p and low[p - 1].isalnum()))
@@ -219,6 +236,12 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexi
     return Lexicon([w for _, w, _ in found], [o for _, _, o in found])
 
 
+def _near_weight(t: int, c: int, toxic: int, clean: int, most: float) -> float:
+    """Log odds of a word near a term, from documents without a term; a guess above a tenth of one clean document stands
+    in for evidence that is missing."""
+    return float(np.clip(np.log((t + 1) / (c + 0.1)) - np.log((toxic + 1) / (clean + 1)), 0, most))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights, none below zero, drawn to the prior; by Newton steps."""
     w, base = _PRIOR.copy(), 0.0
@@ -237,12 +260,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return v[:-1], float(v[-1])
 
 
+def sketch(text: str) -> int:
+    """The least hash of three words in a row: near copies mostly have the same, other texts don't."""
+    words = words_of(text)
+    runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    return min(map(xxhash.xxh64_intdigest, runs)) >> 1
+
+
+def _without_copies(chosen: DataFrame) -> DataFrame:
+    """One text of each sketch and label: what stands in many copies of one text is no evidence about its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [sketch(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["text", "label", "half", "sketch"])
+
+    told = chosen.mapInArrow(run, "text string, label int, half int, sketch long")
+    first = told.groupBy("sketch", "label").agg(F.min(F.struct(F.length("text"), "text")).alias("t"))
+    return first.select("t.text", "label", F.pmod(F.xxhash64(F.lit("half"), "sketch"), F.lit(2)).cast("int").alias("half"))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = TRAIN_ROWS, modulus: int = MODULUS, rest: int = REST, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most `rows` labelled documents. Words are counted on the executors; only those that could be terms
     and the documents' features come to the driver. Weights are fitted on documents that the lexicon of that step hasn't
     seen; the lexicon is then learned anew from all.
     """
-    chosen = cut(sample(docs, labels, label, modulus, rest, rows, doc_id=doc_id, text=text))
+    chosen = cut(_without_copies(sample(docs, labels, label, modulus, rest, rows, doc_id=doc_id, text=text)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,14 +320,30 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
         for b in batches:
             found: set[str] = set()
             for lexicon in sent.value:
-                some = {*b.column(0).to_pylist()}
-                lexicon.known.clear()
-                lexicon.learn_words(some)
-                found |= {w for w in some if lexicon.known[w] is not None and lexicon.known[w][1]}
+                found |= {w for w in b.column(0).to_pylist() if (t := lexicon.find(w)) is not None and t[1]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     ordinary = frozenset(r.word for r in usual.select("word").mapInArrow(near, "word string").collect())
     first, final = Lexicon(first.terms, first.weights, ordinary), Lexicon(final.terms, final.weights, ordinary)
+    shown = docs.sparkSession.sparkContext.broadcast((first, final))
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of documents without a term: how many of each label have a word near each term."""
+        counts: dict[tuple[int, int], list[int]] = {}
+        for b in batches:
+            for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = {*words_of(t.as_py())}
+                for k, lexicon in enumerate(shown.value):
+                    if (k or not h) and not any(w in lexicon.exact for w in words):
+                        for term in {f[0] for w in words if (f := lexicon.find(w)) is not None}:
+                            counts.setdefault((k, term), [0, 0])[y > 0] += 1
+        rows_ = list(counts.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows_], pa.int32()), pa.array([t for (_, t), _ in rows_], pa.int32()), pa.array([c[1] for _, c in rows_], pa.int64()), pa.array([c[0] for _, c in rows_], pa.int64())], ["lexicon", "term", "toxic", "clean"])
+
+    seen = chosen.mapInArrow(missed, "lexicon int, term int, toxic long, clean long").groupBy("lexicon", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = {(r.lexicon, r.term): (r.toxic, r.clean) for r in seen.collect()}  # two lexicons' terms at most
+    for k, (lexicon, t, c) in enumerate(((first, half_t, half_c), (final, toxic, clean))):
+        lexicon.near = [_near_weight(*seen.get((k, i), (0, 0)), t, c, w) for i, w in enumerate(lexicon.weights)]
     again = docs.sparkSession.sparkContext.broadcast((first, final))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
