@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import container, scan
+from .operators import batch, container, scan
 from .operators.container import Options, Reader
-from .operators.errors import Code, StreamError
+from .operators.errors import StreamError
 
 _PRESET = "struct<maxval:int,t1:int,t2:int,t3:int,reset:int>"
 _SPIFF = "struct<" + ",".join(f"{k}:int" for k in container.SPIFF_FIELDS) + ">"
@@ -123,7 +123,17 @@ def encode(data: Column, width: Column, height: Column, bits: Column, components
 
     @F.pandas_udf("binary")
     def run(d: pd.Series, w: pd.Series, h: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else container.encode(bytes(x), int(p), int(q), int(r), int(s), o) for x, p, q, r, s in zip(d, w, h, b, n, strict=True)], dtype=object)
+        out, held, size = [None] * len(d), [], 0
+        for i, x in enumerate(d):
+            if x is not None:
+                held.append(i)
+                size += len(x)
+            if held and (size >= batch.MOST_SAMPLES or i + 1 == len(d)):
+                images = [(bytes(d[j]), int(w[j]), int(h[j]), int(b[j]), int(n[j]), o, 0) for j in held]
+                for j, coded in zip(held, container.encode_many(images), strict=True):
+                    out[j] = coded
+                held, size = [], 0
+        return pd.Series(out, dtype=object)
 
     return run(data, width, height, bits, components)
 
@@ -134,12 +144,12 @@ def decode(content: Column, mode: str = "permissive") -> Column:
     @F.pandas_udf("width int, height int, bits_per_sample int, component_count int, data binary, error_code int")
     def run(c: pd.Series) -> pd.DataFrame:
         rows = []
-        for x in c:
-            try:
-                r, data = container.decode(bytes(x) if x is not None else b"")
+        for got in container.decode_many([bytes(x) if x is not None else b"" for x in c]):
+            if isinstance(got, StreamError):
+                rows.append((None, None, None, None, None, _code(got, mode)))
+            else:
+                r, data = got
                 rows.append((r.width, r.height, r.bits, r.count, data, None))
-            except StreamError as e:
-                rows.append((None, None, None, None, None, _code(e, mode)))
         return pd.DataFrame(rows, columns=["width", "height", "bits_per_sample", "component_count", "data", "error_code"], dtype=object)
 
     return run(content)
@@ -151,18 +161,8 @@ def intervals(df: DataFrame, *, key: str = "path", content: str = "content") ->
     def parse(k: object, data: bytes) -> Iterator[tuple]:
         r = Reader(data).all_segments()
         for i, s in enumerate(r.scans):
-            p, at = r.explicit(s), s.offset
-            step = min(s.interval or r.height, r.height)
-            for j, y in enumerate(range(0, r.height, step)):
-                end = scan.marker_at(data, at)
-                yield k, i, j, r.width, min(step, r.height - y), r.bits, len(s.component_ids), s.mode, s.near, asdict(p), r.transform, data[at:end]
-                at = end
-                if y + step < r.height:
-                    while data[at + 1] == 0xFF:
-                        at += 1
-                    if data[at + 1] != 0xD0 + j % 8:
-                        raise StreamError(Code.RESTART_NOT_FOUND)
-                    at += 2
+            for j, part in enumerate(container.split_intervals(r, s)):
+                yield k, i, j, part.width, part.height, r.bits, part.kind.components, s.mode, s.near, asdict(part.kind.preset), r.transform, part.data
 
     return _rows(df, key, content, f"scan_index int, interval int, width int, height int, bits int, components int, mode int, near int, preset {_PRESET}, transform int, bits_data binary", parse)
 
@@ -174,10 +174,11 @@ def decode_distributed(df: DataFrame, *, key: str = "path", content: str = "cont
 
     @F.pandas_udf("binary")
     def run(w: pd.Series, h: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series, near: pd.Series, p: pd.DataFrame, t: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
+        out, parts = [], []
         for i in range(len(w)):
             preset = scan.Preset(*(int(p[k][i]) for k in ("maxval", "t1", "t2", "t3", "reset")))
-            v = scan.decode_interval(scan.bits_of(bytes(d[i])), (int(h[i]), int(w[i])), int(b[i]), int(n[i]), int(m[i]), int(near[i]), preset)
+            parts.append(batch.Part(bytes(d[i]), int(h[i]), int(w[i]), batch.Kind(int(b[i]), int(n[i]), int(m[i]), int(near[i]), preset)))
+        for i, v in enumerate(batch.decode_intervals(parts)):
             if t[i] and m[i] and n[i] == 3:
                 v = container.transform_inverse(v, int(t[i]), int(b[i]))
             out.append(container.planes_to_bytes(v, int(b[i]), m[i] != 0))

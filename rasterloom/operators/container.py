@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
-from . import scan
+from . import batch, scan
 from .errors import ArgumentError, Code, StreamError
 from .scan import NONE, Preset
 
@@ -434,6 +434,77 @@ def decode(data: bytes, stride: int = 0) -> tuple[Reader, bytes]:
     return reader, b"".join(out)
 
 
+def split_intervals(reader: Reader, s: Scan) -> list[batch.Part]:
+    """The restart intervals of a scan, found by their markers."""
+    data, at, out = reader.data, s.offset, []
+    kind = batch.Kind(reader.bits, len(s.component_ids), s.mode, s.near, reader.explicit(s))
+    step = min(s.interval or reader.height, reader.height)
+    for j, y in enumerate(range(0, reader.height, step)):
+        end = scan.marker_at(data, at)
+        if end < 0:
+            raise StreamError(Code.NEED_MORE_DATA)
+        out.append(batch.Part(data[at:end], min(step, reader.height - y), reader.width, kind))
+        at = end
+        if y + step < reader.height:
+            while data[at + 1 : at + 2] == b"\xff":
+                at += 1
+            if data[at + 1] != RST0 + j % 8:
+                raise StreamError(Code.RESTART_NOT_FOUND)
+            at += 2
+    if RST0 <= data[at + 1] < RST0 + 8:
+        raise StreamError(Code.UNEXPECTED_RESTART)
+    return out
+
+
+def decode_many(files: list[bytes]) -> list[tuple[Reader, bytes] | StreamError]:
+    """What `decode` gives for each file, or its error. Intervals of all files are decoded together, as far as memory allows."""
+    out: list[tuple[Reader, bytes] | StreamError | None] = [None] * len(files)
+    held: list[tuple[int, Reader, list[list[batch.Part]]]] = []
+    size = 0
+
+    def one(i: int) -> None:
+        try:
+            out[i] = decode(files[i])
+        except StreamError as e:
+            out[i] = e
+
+    def flush() -> None:
+        nonlocal size
+        found = batch.decode_intervals([p for _, _, scans in held for own in scans for p in own], strict=False)
+        for i, reader, scans in held:
+            parts = []
+            for s, own in zip(reader.scans, scans, strict=True):
+                rows, found = found[: len(own)], found[len(own) :]
+                if any(v is None for v in rows):
+                    break
+                planes = np.concatenate(rows, axis=1)
+                if reader.transform and s.mode != NONE and len(planes) == 3:
+                    planes = transform_inverse(planes, reader.transform, reader.bits)
+                parts.append(planes_to_bytes(planes, reader.bits, s.mode != NONE))
+            else:
+                out[i] = reader, b"".join(parts)
+        held.clear()
+        size = 0
+
+    for i, data in enumerate(files):
+        try:
+            reader = Reader(data).all_segments()
+            if reader.format == TABLES_ONLY or any(s.mode == NONE and len(s.component_ids) > 1 for s in reader.scans):
+                continue
+            held.append((i, reader, [split_intervals(reader, s) for s in reader.scans]))
+        except StreamError:
+            continue
+        size += reader.width * reader.height * reader.count
+        if size >= batch.MOST_SAMPLES:
+            flush()
+    if held:
+        flush()
+    for i, got in enumerate(out):
+        if got is None:  # something is wrong, or special: read from the start, in order, so that the first error is the one told
+            one(i)
+    return out
+
+
 # Writing
 
 
@@ -499,6 +570,34 @@ def encode(data: bytes, width: int, height: int, bits: int, components: int, opt
 
     data holds the groups one after the other, each in planes for mode 0 and in pixels otherwise.
     """
+    return encode_many([(data, width, height, bits, components, options, stride)])[0]
+
+
+def encode_many(images: list[tuple]) -> list[bytes]:
+    """Compressed bytes of images, given as the arguments of `encode`; what is coded without loss goes together."""
+    parts, units, places = [], [], []
+    for i, image in enumerate(images):
+        parts.append(own := _parts(*image))
+        for j, part in enumerate(own):
+            if not isinstance(part, bytes):
+                planes, kind = part
+                if kind.near:
+                    own[j] = scan.encode(list(planes), kind.bits, kind.mode, kind.near, kind.preset)
+                else:
+                    units.append(part)
+                    places.append((i, j))
+    for (i, j), coded in zip(places, batch.encode_intervals(units), strict=True):
+        parts[i][j] = coded
+    out = []
+    for (*_, options, _), own in zip(images, parts, strict=True):
+        first = options[0][1] if isinstance(options, list) else options
+        whole = b"".join(own)
+        out.append(whole + (b"\xff\xff\xd9" if first and first.even_size and len(whole) % 2 else b"\xff\xd9"))
+    return out
+
+
+def _parts(data: bytes, width: int, height: int, bits: int, components: int, options: Options | list[tuple[int, Options]] | None, stride: int) -> list:
+    """A file but its end, in pieces: bytes, or samples and how to code them."""
     groups = options if isinstance(options, list) else [(components, options or Options())]
     if width < 1:
         raise ArgumentError(Code.ARGUMENT_WIDTH)
@@ -532,7 +631,7 @@ def encode(data: bytes, width: int, height: int, bits: int, components: int, opt
         out += segment(LSE, b"\x04\x04" + height.to_bytes(4, "big") + width.to_bytes(4, "big"))
     if o.restart_interval:
         out += segment(DRI, o.restart_interval.to_bytes(4, "big"))
-    size, at, number = 1 if bits <= 8 else 2, 0, 0
+    size, at, number, pieces = 1 if bits <= 8 else 2, 0, 0, []
     for n, g in groups:
         if g.mode not in (0, 1, 2) or (g.mode and not 2 <= n <= 4):
             raise ArgumentError(Code.ARGUMENT_INTERLEAVE)
@@ -556,10 +655,9 @@ def encode(data: bytes, width: int, height: int, bits: int, components: int, opt
             for k, y in enumerate(range(0, height, step)):
                 if k:
                     out += bytes((0xFF, RST0 + (k - 1) % 8))
-                out += scan.encode([p[y : y + step] for p in part], bits, g.mode, g.near, preset)
-    if o.even_size and len(out) % 2:
-        out.append(0xFF)
-    return bytes(out + b"\xff\xd9")
+                pieces += [bytes(out), (part[:, y : y + step], batch.Kind(bits, len(part), g.mode, g.near, preset))]
+                out.clear()
+    return pieces
 
 
 def with_options(options: Options, **changes) -> Options:

@@ -129,9 +129,13 @@ class _Coder:
     def start(self) -> None:
         a = max(2, (self.range + 32) // 64)
         self.A, self.B, self.C, self.N = [a] * 365, [0] * 365, [0] * 365, [1] * 365
+        self.restart_runs()
+        self.prev = [[0] * (self.width + 2) for _ in range(self.components)]
+
+    def restart_runs(self) -> None:
+        a = max(2, (self.range + 32) // 64)
         self.RA, self.RN, self.RNn = [a, a], [1, 1], [0, 0]
         self.index = [0] * (self.components if self.mode == LINE else 1)
-        self.prev = [[0] * (self.width + 2) for _ in range(self.components)]
 
     def fold(self, e: int) -> int:
         """Error to a residual: divided by the step, then taken into the range."""
@@ -193,6 +197,18 @@ class _Coder:
             k += 1
         return k
 
+    def map_run(self, kind: int, e: int) -> tuple[int, int]:
+        """Code parameter and mapped value of the residual that breaks a run."""
+        k, nn, n = self.golomb(kind), self.RNn[kind], self.RN[kind]
+        bit = (k == 0 and e > 0 and 2 * nn < n) or (e < 0 and (2 * nn >= n or k != 0))
+        return k, 2 * abs(e) - kind - bit
+
+    def unmap_run(self, kind: int, k: int, mapped: int) -> int:
+        t = mapped + kind
+        bit = t & 1
+        e = (t + bit) >> 1
+        return -e if (k != 0 or 2 * self.RNn[kind] >= self.RN[kind]) == bool(bit) else e
+
     def context(self, prev: list[int], cur: list[int], i: int) -> int:
         b, c = prev[i], prev[i - 1]
         lut = self.lut
@@ -257,10 +273,7 @@ def encode(planes: Sequence[np.ndarray], bits: int, mode: int, near: int, preset
         return s.rebuild(p, e if sign > 0 else -e)
 
     def interruption(kind: int, e: int, taken: int) -> None:
-        k = s.golomb(kind)
-        nn, n = s.RNn[kind], s.RN[kind]
-        bit = (k == 0 and e > 0 and 2 * nn < n) or (e < 0 and (2 * nn >= n or k != 0))
-        m = 2 * abs(e) - kind - bit
+        k, m = s.map_run(kind, e)
         golomb(k, m, limit - taken - 1)
         s.learn_run(kind, e, m)
 
@@ -328,12 +341,20 @@ def encode(planes: Sequence[np.ndarray], bits: int, mode: int, near: int, preset
     return w.end()
 
 
-def decode_interval(bits: str, shape: tuple[int, int], depth: int, components: int, mode: int, near: int, preset: Preset) -> np.ndarray:
-    """components x height x width samples of one restart interval, or of a scan without any."""
+def decode_interval(bits: str, shape: tuple[int, int], depth: int, components: int, mode: int, near: int, preset: Preset, going: tuple | None = None) -> np.ndarray:
+    """components x height x width samples of one restart interval, or of a scan without any.
+
+    going: where another coder stopped: (line, bit, samples of the lines before, contexts, what runs know)
+    """
     height, width = shape
     s = _Coder(width, depth, components, mode, near, preset)
     lut, most, limit, wide, find = s.lut, s.most, s.limit, s.wide, bits.find
-    at = 0
+    at = begin = 0
+    out = np.empty((components, height, width), np.int32)
+    if going:
+        begin, at, before, (s.A, s.B, s.C, s.N), (s.RA, s.RN, s.RNn, s.index) = going
+        out[:, :begin] = before[:, :begin]
+        s.prev = [[int(p[begin - 2, 0]) if begin > 1 else 0, *p[begin - 1].tolist(), 0] for p in before]
 
     def golomb(k: int, most_bits: int) -> int:
         nonlocal at
@@ -377,16 +398,11 @@ def decode_interval(bits: str, shape: tuple[int, int], depth: int, components: i
     def interruption(kind: int, taken: int) -> int:
         k = s.golomb(kind)
         m = golomb(k, limit - taken - 1)
-        t = m + kind
-        bit = t & 1
-        e = (t + bit) >> 1
-        if (k != 0 or 2 * s.RNn[kind] >= s.RN[kind]) == bool(bit):
-            e = -e
+        e = s.unmap_run(kind, k, m)
         s.learn_run(kind, e, m)
         return e
 
-    out = np.empty((components, height, width), np.int32)
-    for y in range(height):
+    for y in range(begin, height):
         def line(group: list[int], prev: list[list[int]], cur: list[list[int]], ri: int) -> None:
             nonlocal at
             i, one = 1, len(group) == 1
