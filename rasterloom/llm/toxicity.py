@@ -27,6 +27,10 @@ MODULUS, REST, THRESHOLD = 4, 2, 0.3
 CONTEXT, ONE_EDIT, TWO_EDITS, CACHED = 8, 5, 9, 200_000
 #: A term's chance under the labels' base rate must be below this.
 CHANCE = 1e-6
+#: Lengths of word beginnings that may be terms (stems); a stem must occur in so many times the documents of any one word with it.
+STEM_SIZES, STEM_GAIN = range(4, 9), 2
+#: Counts that a task holds before it sends them on.
+HELD_COUNTS = 200_000
 
 _WORD = re.compile(r"\w+")
 _QUOTES = frozenset("\"“”„«»‘’'`")
@@ -36,7 +40,7 @@ _PERSON = frozenset("you your youre u du dich dir dein ihr euch tu te toi ton ta
 
 FEATURES = ("direct", "direct_share", "misspelled", "quoted", "crowded", "person", "strongest")
 #: What a weight is drawn to where labels say nothing: quoted terms count for little.
-_PRIOR = np.array([1.5, 0.5, 1.0, 0.1, 0.5, 0.2, 0.5])
+_PRIOR = np.array([1.5, 0.5, 0.3, 0.1, 0.5, 0.2, 0.5])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -139,22 +143,33 @@ def edits_for_size(n: int) -> int:
 
 @dataclass
 class Lexicon:
-    """Terms with weights (log odds), weights of words near them, and the words that look like a term but are ordinary."""
+    """Terms with weights (log odds), weights of words near them, and the words that look like a term but are ordinary.
+
+    The last `stems` terms are beginnings, with which all words count that go on from them; they are met as they are
+    written only.
+    """
 
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     ordinary: frozenset[str] = frozenset()
     near: list[float] = field(default_factory=list)
+    stems: int = 0
 
     def __post_init__(self) -> None:
-        self.exact = {t: i for i, t in enumerate(self.terms)}
-        self.products = [None, Product(self.terms, 1), Product(self.terms, 2)]
+        words = len(self.terms) - self.stems
+        self.exact = {t: i for i, t in enumerate(self.terms[:words])}
+        self.begin = {t: i for i, t in enumerate(self.terms) if i >= words}
+        self.sizes = sorted({len(t) for t in self.begin}, reverse=True)
+        self.products = [None, Product(self.terms[:words], 1), Product(self.terms[:words], 2)]
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of a word, if it is a term or a misspelled one."""
         if word in self.exact:
             return self.exact[word], 0
+        for n in self.sizes:
+            if word[:n] in self.begin:
+                return self.begin[word[:n]], 0
         edits = edits_for_size(len(word))
         if not edits or word in self.ordinary:
             return None
@@ -193,10 +208,9 @@ class Lexicon:
             near = (n > 0 and i - places[n - 1] <= CONTEXT) or (n + 1 < len(places) and places[n + 1] - i <= CONTEXT)
             if told:
                 quoted += weight
-            elif e:
-                misspelled += weight / e
             else:
-                direct += weight
+                direct += weight / max(1, e)
+                misspelled += weight / e if e else 0
             if not told:
                 crowded += near * weight
                 person += (not _PERSON.isdisjoint(around)) * weight
@@ -224,16 +238,29 @@ def _chance(k: int, n: int, rate: float) -> float:
 
 
 def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
-    """counts: (word, toxic documents with it, clean ones with it)"""
+    """counts: (word, toxic documents with it, clean ones with it); a word that ends in * is a beginning of words."""
     if not toxic or not clean:
         return Lexicon()
     rate, found = toxic / (toxic + clean), []
     for w, t, c in counts:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         if odds > 1.5 and _chance(t, min(t + c, 2000), rate) < CHANCE:
-            found.append((-odds * np.log1p(t), w, float(odds)))
-    found = sorted(found)[:TERMS]
-    return Lexicon([w for _, w, _ in found], [o for _, _, o in found])
+            found.append((-odds * np.log1p(t), -len(w), w, float(odds), t))
+    found.sort()
+    widest: dict[str, int] = {}  # of each beginning: the documents of the most frequent word with it
+    for w, t, _ in counts:
+        if w[-1:] != "*":
+            for n in STEM_SIZES:
+                if n < len(w):
+                    widest[w[:n]] = max(widest.get(w[:n], 0), t)
+    stems: dict[str, float] = {}
+    for _, _, w, odds, t in sorted(found, key=lambda x: (-x[3] * x[4], x[1], x[2])):  # of nested ones the one that tells most
+        own = w[:-1]
+        if w[-1:] == "*" and t >= STEM_GAIN * max(2, widest.get(own, 0)) and not any(x.startswith(own) or own.startswith(x) for x in stems):
+            stems[own] = odds
+    words = [(w, o) for _, _, w, o, _ in found if w[-1:] != "*" and not any(w[:n] in stems for n in STEM_SIZES)]
+    kept = [*words[: TERMS - min(len(stems), TERMS // 2)], *list(stems.items())[: TERMS // 2]]
+    return Lexicon([w for w, _ in kept], [o for _, o in kept], stems=min(len(stems), TERMS // 2))
 
 
 def _near_weight(t: int, c: int, toxic: int, clean: int, most: float) -> float:
@@ -288,13 +315,21 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     chosen = cut(_without_copies(sample(docs, labels, label, modulus, rest, rows, doc_id=doc_id, text=text)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows_ = list(counts.items())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in rows_], pa.int32()), pa.array([w for (_, w), _ in rows_], pa.string()), pa.array([c[1] for _, c in rows_], pa.int64()), pa.array([c[0] for _, c in rows_], pa.int64())], ["half", "word", "toxic", "clean"])
+
         for b in batches:
-            counts: dict[tuple[int, str], list[int]] = {}
             for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for w in {*words_of(t.as_py())}:
+                own = {*words_of(t.as_py())}
+                for w in own | {w[:n] + "*" for w in own for n in STEM_SIZES if n < len(w)}:
                     counts.setdefault((h, w), [0, 0])[y > 0] += 1
-            rows_ = list(counts.items())
-            yield pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in rows_], pa.int32()), pa.array([w for (_, w), _ in rows_], pa.string()), pa.array([c[1] for _, c in rows_], pa.int64()), pa.array([c[0] for _, c in rows_], pa.int64())], ["half", "word", "toxic", "clean"])
+                if len(counts) > HELD_COUNTS:
+                    yield out()
+        yield out()
 
     sizes = {(r.half, r.toxic): r.n for r in chosen.groupBy("half", (F.col("label") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = sum(n for (_, y), n in sizes.items() if y), sum(n for (_, y), n in sizes.items() if not y)
@@ -313,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     first = _lexicon([(r.word, r.toxic0, r.clean0) for r in likely], half_t, half_c)
     final = _lexicon([(r.word, r.toxic0 + r.toxic1, r.clean0 + r.clean1) for r in likely], toxic, clean)
     # Ordinary words near a term: those that clean documents have more often than their share
-    usual = counted.where((both_c >= 3) & (both_c * toxic >= both_t * clean)).orderBy(F.desc(both_c), "word").limit(100_000)
+    usual = counted.where(~F.endswith("word", F.lit("*")) & (both_c >= 3) & (both_c * toxic >= both_t * clean)).orderBy(F.desc(both_c), "word").limit(100_000)
     sent = docs.sparkSession.sparkContext.broadcast((first, final))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     ordinary = frozenset(r.word for r in usual.select("word").mapInArrow(near, "word string").collect())
-    first, final = Lexicon(first.terms, first.weights, ordinary), Lexicon(final.terms, final.weights, ordinary)
+    first, final = (Lexicon(x.terms, x.weights, ordinary, stems=x.stems) for x in (first, final))
     shown = docs.sparkSession.sparkContext.broadcast((first, final))
 
     def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +369,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
             for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = {*words_of(t.as_py())}
                 for k, lexicon in enumerate(shown.value):
-                    if (k or not h) and not any(w in lexicon.exact for w in words):
-                        for term in {f[0] for w in words if (f := lexicon.find(w)) is not None}:
+                    if k or not h:
+                        found = [f for w in words if (f := lexicon.find(w)) is not None]
+                        for term in {i for i, _ in found} if all(e for _, e in found) else ():
                             counts.setdefault((k, term), [0, 0])[y > 0] += 1
         rows_ = list(counts.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows_], pa.int32()), pa.array([t for (_, t), _ in rows_], pa.int32()), pa.array([c[1] for _, c in rows_], pa.int64()), pa.array([c[0] for _, c in rows_], pa.int64())], ["lexicon", "term", "toxic", "clean"])
