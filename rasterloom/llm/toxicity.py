@@ -38,9 +38,9 @@ _QUOTES = frozenset("\"“”„«»‘’'`")
 _REPORT = frozenset("said says wrote writes called calls quote quoted quoting word words term reported comment sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split())
 _PERSON = frozenset("you your youre u du dich dir dein ihr euch tu te toi ton ta vous votre tú ti tus usted vosotros".split())
 
-FEATURES = ("direct", "direct_share", "misspelled", "quoted", "crowded", "person", "strongest")
+FEATURES = ("every", "every_share", "direct", "misspelled", "quoted", "crowded", "person", "strongest")
 #: What a weight is drawn to where labels say nothing: quoted terms count for little.
-_PRIOR = np.array([1.5, 0.5, 0.3, 0.1, 0.5, 0.2, 0.5])
+_PRIOR = np.array([1.5, 0.5, 0.0, 0.6, 0.1, 0.5, 0.2, 0.5])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -208,14 +208,16 @@ class Lexicon:
             near = (n > 0 and i - places[n - 1] <= CONTEXT) or (n + 1 < len(places) and places[n + 1] - i <= CONTEXT)
             if told:
                 quoted += weight
+            elif e:
+                misspelled += weight / e
             else:
-                direct += weight / max(1, e)
-                misspelled += weight / e if e else 0
+                direct += weight
             if not told:
                 crowded += near * weight
                 person += (not _PERSON.isdisjoint(around)) * weight
                 strongest = max(strongest, weight / (1 + e))
-        return [float(np.log1p(direct)), 100 * direct / (len(words) + 20) / 10, float(np.log1p(misspelled)), float(np.log1p(quoted)), float(np.log1p(crowded)), float(np.log1p(person)), strongest / 5]
+        every = direct + misspelled
+        return [float(np.log1p(every)), 10 * every / (len(words) + 20), float(np.log1p(direct)), float(np.log1p(misspelled)), float(np.log1p(quoted)), float(np.log1p(crowded)), float(np.log1p(person)), strongest / 5]
 
 
 @dataclass
