@@ -82,3 +82,19 @@ def test_each_stage_by_brute_force(spark, tables):
     whole = corpus_pipeline.run(spark, at).collect()
     assert {p.doc_id for p in whole} == {r[0] for r in fourth}
     assert sum(p.length for p in whole) == sum(wanted.values())
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark, tables):
+    at, item = tables
+    docs = [r for r in rows_of(spark.read.parquet(f"{at}/documents.parquet")) if r[1] and len(r[1]) > 100 and "!!" not in r[1]]
+    unlike = sorted({r[1] for r in docs[:40]})[:6]
+    rows = [(None, t, None, None, None) for t in unlike] + [(None, unlike[0], None, None, None), (7, unlike[1], None, None, None), (7, unlike[2], None, None, None), (None, item, None, None, None)]
+    kept = rows_of(corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, COLUMNS), at))
+    prints = {t: brute_fingerprint(t) for t in {r[1] for r in rows}}
+    assert all((a ^ b).bit_count() > 2 for x, a in prints.items() for y, b in prints.items() if x != y)
+    assert kept == sorted(((7 if t in unlike[1:3] else None, t, None, None, None) for t in prints), key=repr)
+    clean = rows_of(corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, COLUMNS), at))
+    assert clean == sorted((r for r in rows if not contaminated(r[1], [(1, item)])[-1]), key=repr) and len(clean) < len(rows)
+    extra = spark.createDataFrame([(1, unlike[0], "a", "b")], "doc_id long, text string, fingerprint string, component_id string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, extra, at).columns == extra.columns and stage(spark, extra, at).count() == 1 and stage(spark, extra.limit(0), at).count() == 0
