@@ -91,3 +91,13 @@ def test_clashing_columns_and_empty(spark):
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == [(2, 2), (4, 2), (4, 2)]
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_documents_with_nulls_clashing_columns_and_no_rows(spark):
+    schema = "doc_id long, text string, fingerprint int, component_id string, fp string"
+    rows = [(4, "one two three four", 1, "x", "y"), (2, "ONE two  three four", 2, "x", "y"), (2, "one two three four", 3, None, None), (None, "one two three four", 4, "x", "y"), (9, None, 5, "x", "y"), (8, " ", 6, "x", "y")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    same = f"{brute_fingerprint(rows[0][1]):016x}"
+    want = [(4, same, 2), (2, same, 2), (2, same, 2), (None, same, 2), (9, "0" * 16, 8), (8, "0" * 16, 8)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
