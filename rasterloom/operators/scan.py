@@ -402,71 +402,151 @@ def decode_interval(bits: str, shape: tuple[int, int], depth: int, components: i
         s.learn_run(kind, e, m)
         return e
 
-    for y in range(begin, height):
-        def line(group: list[int], prev: list[list[int]], cur: list[list[int]], ri: int) -> None:
-            nonlocal at
-            i, one = 1, len(group) == 1
-            ps, cs = [prev[c] for c in group], [cur[c] for c in group]
-            first_p, first_c = ps[0], cs[0]
-            while i <= width:
-                b, c, a = first_p[i], first_p[i - 1], first_c[i - 1]
-                q = (lut[first_p[i + 1] - b] * 9 + lut[b - c]) * 9 + lut[c - a]
-                if one:
-                    if q:
-                        first_c[i] = regular(q, _predict(a, b, c))
-                        i += 1
-                        continue
+    def run(i: int, group: list[int], ps: list[list[int]], cs: list[list[int]], ri: int) -> int:
+        """A run from place i on, and what breaks it; the place after."""
+        nonlocal at
+        one = len(group) == 1
+        ra = [x[i - 1] for x in cs]
+        index, n, left = s.index[ri], 0, width - i + 1
+        while True:
+            if at >= len(bits):
+                raise StreamError(Code.INVALID_DATA, "bits end within a run")
+            bit, at = bits[at], at + 1
+            if bit == "0":
+                break
+            block = 1 << RUN_BITS[index]
+            if block <= left - n:
+                n += block
+                index = min(31, index + 1)
+            else:
+                n = left
+            if n == left:
+                break
+        if n < left:
+            taken = RUN_BITS[index]
+            if taken:
+                n += int(bits[at : at + taken] or "0", 2)
+                at += taken
+            if n > left or at > len(bits):
+                raise StreamError(Code.INVALID_DATA, "run beyond its line")
+        s.index[ri] = index
+        for j, x in enumerate(cs):
+            x[i : i + n] = [ra[j]] * n
+        i += n
+        if i > width:
+            if bit == "0":
+                raise StreamError(Code.INVALID_DATA, "run beyond its line")
+            return i
+        taken = RUN_BITS[index]
+        for j in range(len(group)):
+            a, b = ra[j], ps[j][i]
+            if one and abs(a - b) <= near:
+                cs[j][i] = s.rebuild(a, interruption(1, taken))
+            else:
+                e = interruption(0, taken)
+                cs[j][i] = s.rebuild(b, -e if b < a else e)
+        s.index[ri] = max(0, index - 1)
+        return i + 1
+
+    A, B, C, N, reset, step, plain, size = s.A, s.B, s.C, s.N, s.reset, s.step, limit - wide - 1, len(bits)
+
+    def single(group: list[int], prev: list[int], cur: list[int], ri: int) -> None:
+        """A line of one component: what `regular` does, without a call for each sample."""
+        nonlocal at
+        i, here = 1, at
+        a, b, c = cur[0], prev[1], prev[0]
+        while i <= width:
+            d = prev[i + 1]
+            q = (lut[d - b] * 9 + lut[b - c]) * 9 + lut[c - a]
+            if not q:
+                at = here
+                i = run(i, group, [prev], [cur], ri)
+                if i <= width:
+                    a, b, c = cur[i - 1], prev[i], prev[i - 1]
+                here = at
+                continue
+            if a > b:
+                p = b if c >= a else a if c <= b else a + b - c
+            else:
+                p = a if c >= b else b if c <= a else a + b - c
+            back = q < 0
+            if back:
+                q = -q
+                p -= C[q]
+            else:
+                p += C[q]
+            p = 0 if p < 0 else most if p > most else p
+            sum_a, n, k = A[q], N[q], 0
+            reach = n
+            while reach < sum_a:
+                reach += reach
+                k += 1
+            first = find("1", here)
+            if first - here < plain and 0 <= first and k <= 16:
+                if k:
+                    m, here = first - here, first + 1 + k
+                    if here > size:
+                        raise StreamError(Code.INVALID_DATA, "bits end within a code")
+                    m = m << k | int(bits[first + 1 : here], 2)
                 else:
-                    qs = [q, *(s.context(ps[j], cs[j], i) for j in range(1, len(group)))]
-                    if any(qs):
-                        if len(group) == 4:
-                            qs[3] = qs[2]  # the fourth component is coded in the third's context
-                        for j in range(len(group)):
-                            cs[j][i] = regular(qs[j], _predict(cs[j][i - 1], ps[j][i], ps[j][i - 1]))
-                        i += 1
-                        continue
-                ra = [x[i - 1] for x in cs]
-                index, n, left = s.index[ri], 0, width - i + 1
-                while True:
-                    if at >= len(bits):
-                        raise StreamError(Code.INVALID_DATA, "bits end within a run")
-                    bit, at = bits[at], at + 1
-                    if bit == "0":
-                        break
-                    block = 1 << RUN_BITS[index]
-                    if block <= left - n:
-                        n += block
-                        index = min(31, index + 1)
-                    else:
-                        n = left
-                    if n == left:
-                        break
-                if n < left:
-                    taken = RUN_BITS[index]
-                    if taken:
-                        n += int(bits[at : at + taken] or "0", 2)
-                        at += taken
-                    if n > left or at > len(bits):
-                        raise StreamError(Code.INVALID_DATA, "run beyond its line")
-                s.index[ri] = index
-                for j, x in enumerate(cs):
-                    x[i : i + n] = [ra[j]] * n
-                i += n
-                if i > width:
-                    if bit == "0":
-                        raise StreamError(Code.INVALID_DATA, "run beyond its line")
-                    break
-                taken = RUN_BITS[index]
-                for j in range(len(group)):
-                    a, b = ra[j], ps[j][i]
-                    if one and abs(a - b) <= near:
-                        cs[j][i] = s.rebuild(a, interruption(1, taken))
-                    else:
-                        e = interruption(0, taken)
-                        cs[j][i] = s.rebuild(b, -e if b < a else e)
-                s.index[ri] = max(0, index - 1)
-                i += 1
+                    m, here = first - here, first + 1
+            elif k > 16:
+                raise StreamError(Code.INVALID_DATA, "code parameter out of bounds")
+            else:
+                at = here
+                m = golomb(k, limit)
+                here = at
+            e = -((m + 1) >> 1) if m & 1 else m >> 1
+            if m > 131_070:
+                raise StreamError(Code.INVALID_DATA, "residual out of bounds")
+            sum_b = B[q]
+            if not k and not near and 2 * sum_b + n - 1 < 0:
+                e = ~e
+            sum_a += e if e >= 0 else -e
+            sum_b += e * step
+            if sum_a >= 1 << 24 or sum_b >= 1 << 24 or sum_b <= -(1 << 24):
+                raise StreamError(Code.INVALID_DATA, "context out of bounds")
+            if n == reset:
+                sum_a, sum_b, n = sum_a >> 1, sum_b >> 1, n >> 1
+            n += 1
+            if sum_b + n <= 0:
+                sum_b += n
+                if sum_b <= -n:
+                    sum_b = 1 - n
+                if C[q] > -128:
+                    C[q] -= 1
+            elif sum_b > 0:
+                sum_b -= n
+                if sum_b > 0:
+                    sum_b = 0
+                if C[q] < 127:
+                    C[q] += 1
+            A[q], B[q], N[q] = sum_a, sum_b, n
+            if near:
+                cur[i] = x = s.rebuild(p, -e if back else e)
+            else:
+                cur[i] = x = (p - e if back else p + e) & most
+            a, c, b = x, b, d
+            i += 1
+        at = here
+
+    def line(group: list[int], prev: list[list[int]], cur: list[list[int]], ri: int) -> None:
+        if len(group) == 1:
+            single(group, prev[group[0]], cur[group[0]], ri)
+            return
+        i = 1
+        while i <= width:
+            qs = [s.context(prev[j], cur[j], i) for j in group]
+            if not any(qs):
+                i = run(i, group, prev, cur, ri)
+                continue
+            if len(group) == 4:
+                qs[3] = qs[2]  # the fourth component is coded in the third's context
+            for q, p, x in zip(qs, prev, cur, strict=True):
+                x[i] = regular(q, _predict(x[i - 1], p[i], p[i - 1]))
+            i += 1
 
+    for y in range(begin, height):
         s.lines(line)
         for c in range(components):
             out[c, y] = s.prev[c][1:-1]
