@@ -10,6 +10,7 @@ from . import batch, scan
 from .errors import ArgumentError, Code, StreamError
 from .scan import NONE, Preset
 
+# Fixed values of the format: marker codes, kinds of files, fields of the file header, the size of a segment
 SOI, EOI, SOS, DNL, DRI, SOF, LSE, COM, APP0, APP8, RST0 = 0xD8, 0xD9, 0xDA, 0xDC, 0xDD, 0xF7, 0xF8, 0xFE, 0xE0, 0xE8, 0xD0
 #: Frames of other codecs of the same family.
 FOREIGN = frozenset((0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xF9))

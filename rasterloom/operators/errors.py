@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from enum import IntEnum
 
+# The numbers by which errors are known
 _NAMES = {
     2: "CALLBACK_FAILED", 3: "DESTINATION_TOO_SMALL", 4: "NEED_MORE_DATA", 5: "INVALID_DATA", 6: "ENCODING_NOT_SUPPORTED", 7: "VALUE_NOT_SUPPORTED", 8: "COLOUR_TRANSFORM_NOT_SUPPORTED",
     9: "EXTENDED_PRESET_NOT_SUPPORTED", 10: "MARKER_START_NOT_FOUND", 11: "SOI_NOT_FOUND", 12: "BAD_SPIFF_HEADER", 13: "UNKNOWN_MARKER", 14: "UNEXPECTED_SOS", 15: "BAD_SEGMENT_SIZE", 16: "DUPLICATE_SOI",

@@ -11,6 +11,7 @@ import numpy as np
 
 from .errors import Code, StreamError
 
+# Fixed values of the format: interleave modes, and the sizes of run blocks by run index
 NONE, LINE, SAMPLE = 0, 1, 2
 RUN_BITS = (0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 

@@ -188,3 +188,24 @@ def test_any_bytes_end_in_an_answer_or_a_code():
             c.decode(bytes(bad))
         except StreamError:
             pass
+
+
+def test_segments_between_scans_and_repeated_ones():
+    data = bytes(np.random.default_rng(2).integers(0, 256, 60).astype(np.uint8))
+    both = lambda x: (c.decode(x)[1], c.decode_many([x])[0][1])
+    parts = c.encode(data, 5, 4, 8, 3)
+    second = parts.index(b"\xff\xda", parts.index(b"\xff\xda") + 2)
+    late = parts[:second] + c.table_segments(3, 2, b"abcd") + c.segment(c.COM, b"x") + parts[second:]
+    assert both(late) == (data, data) and c.Reader(late).all_segments().tables[0].data == b"abcd"
+    presets = c.encode(data, 5, 4, 8, 3, [(1, c.Options(preset=Preset(255, 4, 8, 22, 31 + i))) for i in range(3)])
+    assert presets.count(b"\xff\xf8") == 3 and both(presets) == (data, data)
+    restarts = c.encode(data, 5, 12, 8, 1, c.Options(restart_interval=2))
+    at = restarts.index(b"\xff\xdd")
+    twice = restarts[:at] + c.segment(c.DRI, b"\0\x09") + restarts[at:]
+    assert both(twice) == (data, data)
+    filled = restarts.replace(b"\xff\xd1", b"\xff\xff\xff\xd1")
+    assert len(filled) > len(restarts) and both(filled) == (data, data)
+    more = restarts[:-2] + b"\xff\xd5\xff\xd9"
+    with pytest.raises(StreamError) as e:
+        c.decode(more)
+    assert c.decode_many([more])[0].code == e.value.code
