@@ -128,7 +128,7 @@ def encode(data: Column, width: Column, height: Column, bits: Column, components
             if x is not None:
                 held.append(i)
                 size += len(x)
-            if held and (size >= batch.MOST_SAMPLES or i + 1 == len(d)):
+            if held and (size >= batch.MOST_CODED or i + 1 == len(d)):
                 images = [(bytes(d[j]), int(w[j]), int(h[j]), int(b[j]), int(n[j]), o, 0) for j in held]
                 for j, coded in zip(held, container.encode_many(images), strict=True):
                     out[j] = coded

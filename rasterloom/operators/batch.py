@@ -16,9 +16,9 @@ from .errors import Code, StreamError
 from .scan import LINE, RUN_BITS, SAMPLE, Preset
 
 #: Fewer contexts, or intervals, than these are quicker one by one.
-LEAST_CONTEXTS, LEAST_INTERVALS = 48, 24
-#: Samples that are held at a time.
-MOST_SAMPLES = 1 << 22
+LEAST_CONTEXTS, LEAST_INTERVALS = 48, 72
+#: Samples that are coded, and decoded, at a time: some 200 and 20 bytes of memory each.
+MOST_CODED, MOST_DECODED = 1 << 21, 1 << 23
 _CONTEXTS = 365
 _BOUND = 1 << 24
 
@@ -55,7 +55,7 @@ def encode_intervals(units: list[tuple[np.ndarray, Kind]]) -> list[bytes]:
         for i in members:
             held.append(i)
             size += units[i][0].size
-            if size >= MOST_SAMPLES or i == members[-1]:
+            if size >= MOST_CODED or i == members[-1]:
                 for j, data in zip(held, _encode([units[j][0] for j in held], kind), strict=True):
                     out[j] = data
                 held, size = [], 0
@@ -369,7 +369,7 @@ def decode_intervals(parts: list[Part], strict: bool = True) -> list[np.ndarray
         for i in members:
             held.append(i)
             size += parts[i].height * parts[i].width * kind.components
-            if size >= MOST_SAMPLES or i == members[-1]:
+            if size >= MOST_DECODED or i == members[-1]:
                 if len(held) >= LEAST_INTERVALS:
                     for j, v in zip(held, _decode([parts[j] for j in held], kind), strict=True):
                         out[j] = v
@@ -424,7 +424,14 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
     escape = limit - wide - 1
     lut = _lut(kind)
     first_a = coders.A[0]
-    A, B, C, N = (np.full(len(parts) * _CONTEXTS, v, np.int32) for v in (first_a, 0, 0, 1))
+    lut81, lut9 = lut * 81, lut * 9
+    state = np.tile(np.array([first_a, 0, 0, 1], np.int32), len(parts) * _CONTEXTS).view(np.dtype((np.void, 16)))  # A, B, C, N
+    # Where residuals within the range can't take a context out of bounds, k may come from a table of all A and N
+    tame = reset * span < _BOUND
+    a_bits = (reset * span).bit_length()
+    parameters = None
+    if tame and a_bits <= 15 and reset <= 64:
+        parameters = _parameter(np.tile(np.arange(1 << a_bits), reset + 1), np.repeat(np.maximum(np.arange(reset + 1), 1), 1 << a_bits))
     runs = [[[first_a, first_a], [1, 1], [0, 0], [0] * turns] for _ in parts]
     out: list[np.ndarray | None] = [None] * len(parts)
     # of the intervals that go on: number, place of the next sample, samples left of its line, lines left, next bit
@@ -513,7 +520,9 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
             p = at + j * skip if j else at
             over = p - up
             a, b, c = buf.take(p - 1), buf.take(over), buf.take(over - 1)
-            q = (lut.take(buf.take(over + 1) - b, mode="wrap") * 9 + lut.take(b - c, mode="wrap")) * 9 + lut.take(c - a, mode="wrap")
+            q = lut81.take(buf.take(over + 1) - b, mode="wrap")
+            q += lut9.take(b - c, mode="wrap")
+            q += lut.take(c - a, mode="wrap")
             near_by.append((p, a, b, c, q))
             flat = q == 0 if flat is None else flat & (q == 0)
         runs_now = np.flatnonzero(flat)
@@ -527,41 +536,57 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
                 q = third
             elif j == 2:
                 third = q
-            back = q < 0
+            sign = q >> 31 | 1
             key = offset + np.abs(q)
-            ca, cb, cc, cn = A.take(key), B.take(key), C.take(key), N.take(key)
-            pred = np.minimum(np.maximum(a + b - c, np.minimum(a, b)), np.maximum(a, b))
-            pred += np.where(back, -cc, cc)
+            held = state.take(key)
+            ca, cb, cc, cn = held.view(np.int32).reshape(-1, 4).T
+            pred = a + b
+            pred -= c
+            np.maximum(pred, np.minimum(a, b), out=pred)
+            np.minimum(pred, np.maximum(a, b), out=pred)
+            pred += cc * sign
             np.maximum(pred, 0, out=pred)
             np.minimum(pred, most, out=pred)
-            k = _parameter(ca, cn)
+            k = parameters.take((cn << a_bits) + ca, mode="clip") if parameters is not None else _parameter(ca, cn)
             w = window.take(now >> 3, mode="clip") << (now & 7).view(u64)
             zeros = 1075 - ((w >> u64(11)).astype(np.float64).view(np.int64) >> 52)
-            now = now + zeros + 1
+            skipped = zeros + 1
             coded = zeros >= escape
-            size = np.where(coded, np.int64(wide), k)
-            w = window.take(now >> 3, mode="clip") << (now & 7).view(u64)
+            any_coded = coded.any()
+            size = np.where(coded, np.int64(wide), k) if any_coded else k.astype(np.int64)
+            if limit <= 56:  # all of a code is in the window
+                w <<= skipped.view(u64)
+                now = now + (skipped + size)
+            else:
+                now = now + skipped
+                w = window.take(now >> 3, mode="clip") << (now & 7).view(u64)
+                now += size
             m = ((w >> u64(1)) >> (63 - size).view(u64)).view(np.int64)
-            m = np.where(coded, m + 1, (np.minimum(zeros, 64) << k) + m).astype(np.int32)
-            now = now + size
+            if any_coded:
+                m = np.where(coded, m + 1, (np.minimum(zeros, 64) << k) + m)
+            else:
+                m += zeros << size
+            m = m.astype(np.int32)
             e = (m >> 1) ^ -(m & 1)
             if not near:
-                e ^= -((k == 0) & (2 * cb + cn - 1 < 0)).astype(np.int32)
-            x = np.where(back, -e, e)
+                e ^= ((k == 0) & (2 * cb + cn < 1)).view(np.int8) * np.int8(-1)
             if near:
-                x = pred + x * step
+                x = pred + e * sign * step
                 x += ((x < -near).astype(np.int32) - (x > most + near)) * (span * step)
                 np.maximum(x, 0, out=x)
                 np.minimum(x, most, out=x)
             else:
+                x = e * sign
                 x += pred
                 x &= most
             buf[p] = x
             size_e = np.abs(e)
             ca += size_e
             cb += e * step if near else e
-            odd = (zeros > escape) | (k > 16) | (size_e > 65535) | (np.maximum(ca, np.abs(cb)) >= _BOUND)
-            wrong = odd if wrong is None else wrong | odd
+            if any_coded or not tame or m.max() > span + 1:
+                # Residuals beyond the range are left to the other coder; others can't take a tame context out of bounds
+                odd = (zeros > escape) | ((m > span + 1) if tame else (k > 16) | (size_e > 65535) | (np.maximum(ca, np.abs(cb)) >= _BOUND))
+                wrong = odd if wrong is None else wrong | odd
             halve = cn == reset
             if halve.any():
                 ca >>= halve
@@ -575,10 +600,10 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
             cc += turned
             np.maximum(cc, -128, out=cc)
             np.minimum(cc, 127, out=cc)
-            A[key], B[key], C[key], N[key] = ca, cb, cc, cn
+            state[key] = held
         bad: list[int] = []
         if chosen is None:
-            if wrong.any():
+            if wrong is not None:
                 bad = np.flatnonzero(wrong & ~flat).tolist()
             if len(runs_now):
                 kept = bit[runs_now]
@@ -595,7 +620,7 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
             bit[chosen] = now
             at[chosen] += 1
             left[chosen] -= 1
-            bad = chosen[wrong].tolist()
+            bad = chosen[wrong].tolist() if wrong is not None else []
         bad += [i for i in runs_now.tolist() if not run(i)]
         i = np.flatnonzero(left == 0)
         if not len(i) and not bad:
@@ -623,7 +648,7 @@ def _decode(parts: list[Part], kind: Kind) -> list[np.ndarray | None]:
                 for x in park.tolist():
                     j = int(who[x])
                     y = int(heights[j]) - int(rows[x]) // turns
-                    out[j] = _rest(parts[j], y, int(bit[x] - first_bit[j]), view(j), [v[j * _CONTEXTS : (j + 1) * _CONTEXTS].tolist() for v in (A, B, C, N)], runs[j])
+                    out[j] = _rest(parts[j], y, int(bit[x] - first_bit[j]), view(j), state[j * _CONTEXTS : (j + 1) * _CONTEXTS].view(np.int32).reshape(-1, 4).T.tolist(), runs[j])
                 over[park] = True
         if over.any():
             keep = ~over

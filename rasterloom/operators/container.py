@@ -496,7 +496,7 @@ def decode_many(files: list[bytes]) -> list[tuple[Reader, bytes] | StreamError]:
         except StreamError:
             continue
         size += reader.width * reader.height * reader.count
-        if size >= batch.MOST_SAMPLES:
+        if size >= batch.MOST_DECODED:
             flush()
     if held:
         flush()
