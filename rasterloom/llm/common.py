@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, once nothing is read from it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows go to the shared checkpoint folder and survive a lost executor."""
     shared_dir(df.sparkSession)

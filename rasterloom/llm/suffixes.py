@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, remove, shared_dir
 
 LENGTH, KEY, BATCHES = 400, 200, 4
 #: Bytes that are hashed at a time; a longer text is read in stretches that overlap by length - 1.
@@ -175,11 +175,6 @@ class SuffixFamily:
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema("key long, whole long, n int").parquet(path)
 
-    def _drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
     @staticmethod
     def _merged(arrays: list[DataFrame]) -> DataFrame:
         """One array in order of its entries; an entry's count stops at 2."""
@@ -204,8 +199,8 @@ class SuffixFamily:
         while level in self.levels:
             older = self.levels.pop(level)
             merged = self._write(self._merged([self._read(older), self._read(own)]).sortWithinPartitions("key", "whole"))
-            self._drop(older)
-            self._drop(own)
+            remove(self.spark, older)
+            remove(self.spark, own)
             own, level = merged, level + 1
         self.levels[level] = own
 
@@ -223,6 +218,10 @@ class SuffixFamily:
         alone = every.where("n = 1").join(keys.select("key"), "key", "left_semi").select("key").distinct()
         return twice, alone
 
+    def close(self) -> None:
+        """Delete all tables; what `matches` gave must have been written before."""
+        remove(self.spark, self.at)
+
 
 def _filter(keys: DataFrame, n: int) -> np.ndarray:
     """Bloom filter of column h as 64-bit words; no larger than MOST_FILTER_BITS however many keys there are."""
@@ -269,6 +268,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
         family.add(entries(part, text="__text", length=length, key=key))
     twice, alone = family.matches()
     twice, alone = cut(twice), cut(alone)
+    family.close()
     n_twice, n_alone = twice.count(), alone.count()
     filters = spark.sparkContext.broadcast((_filter(twice.select(F.col("whole").alias("h")), n_twice), _filter(alone.select(F.col("key").alias("h")), n_alone)))
 
