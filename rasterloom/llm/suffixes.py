@@ -7,7 +7,9 @@ bytes, then the hash of all bytes of the strings that have this anchor, then a c
 ascending order of the two. A new batch gets its array and is merged with the existing levels in one scan
 that finds the keys that meet others; two levels of equal size are then merged into one of the next size.
 
-Where the second hash of an entry has come before, all its strings are repeated. Where only the first has, the
+Where the second hash of an entry has come before, all its strings are repeated. Of a passage of such entries only as many
+are looked up as cover all its bytes; those in between are looked up only where one of these isn't repeated after all
+(the filter let it through). Where only the first hash of an entry has come before, the
 bytes around the anchor go to the other ends of the match, once for each entry, and the strings in them are
 compared one by one, by a hash of their own. Two different strings are taken for equal only if both hashes of
 64 bits agree.
@@ -15,6 +17,7 @@ compared one by one, by a hash of their own. Two different strings are taken for
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import uuid
@@ -112,6 +115,36 @@ class Stretch:
         return self.data[self.first[i] : self.last[i] + self.length].tobytes()
 
 
+_BETWEEN = np.dtype([("key", "<i8"), ("whole", "<i8"), ("first", "<i4"), ("last", "<i4")])
+
+
+def _covering(s: Stretch, found: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """Of anchors in order, those that cover all that neighbouring ones cover; and for each of them the others on both
+    sides up to the next of these, as _BETWEEN records with places relative to its own first string."""
+    if not len(found):
+        return found, []
+    first, last, text = s.first[found], s.last[found], s.text[found]
+    record = np.empty(len(found), _BETWEEN)
+    record["key"], record["whole"], record["first"], record["last"] = s.key[found].view(np.int64), s.whole[found].view(np.int64), first, last
+    breaks = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (first[1:] != last[:-1] + 1), [True]))).tolist()
+    starts, reach = first.tolist(), (last + s.length).tolist()
+    chosen, between = [], []
+    for begin, end in itertools.pairwise(breaks):
+        own = [begin]
+        while own[-1] < end - 1:
+            own.append(bisect.bisect_right(starts, reach[own[-1]], own[-1] + 1, end) - 1)
+        for before, at, after in zip([begin, *own], own, [*own[1:], end], strict=False):
+            if before + 1 < at or at + 1 < after:
+                near = np.concatenate((record[before + 1 : at], record[at + 1 : after]))
+                near["first"] -= starts[at]
+                near["last"] -= starts[at]
+                between.append(near.tobytes())
+            else:
+                between.append(None)
+        chosen += own
+    return found[chosen], between
+
+
 def _strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each string of each context: the context's number, the string's place in it, its hash."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -280,20 +313,34 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             id2 = np.fromiter(((zlib.crc32(x) << 31) + len(x) for x in texts), np.int64, len(texts))
             sent: set[tuple[int, int]] = set()
             for s in _stretches(iter(texts), length, key):
-                full = np.flatnonzero(_in(whole_filter, s.whole))
+                full, between = _covering(s, np.flatnonzero(_in(whole_filter, s.whole)))
                 part = []
                 for i in np.flatnonzero(_in(key_filter, s.key)).tolist():
                     if (entry := (int(s.key[i]), int(s.whole[i]))) not in sent:  # equal entries have equal bytes
                         sent.add(entry)
                         part.append(i)
                 every = np.concatenate((full, np.array(part, np.int64)))
+                between += [None] * len(part)
                 around = [None] * len(full) + [s.around(i) for i in part]
                 columns = [s.key[every].view(np.int64), s.whole[every].view(np.int64), id1[s.text[every]], id2[s.text[every]], s.first[every] + s.shift[every], s.last[every] + s.shift[every]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], ["key", "whole", "id1", "id2", "first", "last", "around"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary()), pa.array(between, pa.binary())], ["key", "whole", "id1", "id2", "first", "last", "around", "between"])
 
-    rows = cut(_bytes_of(data, "__text").mapInArrow(run, "key long, whole long, id1 long, id2 long, first long, last long, around binary"))
-    full = rows.where("around IS NULL").join(twice, ["key", "whole"], "left_semi").select("id1", "id2", "first", "last")
-    near = rows.where("around IS NOT NULL")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of their own for what stands around an entry that isn't repeated."""
+        for b in batches:
+            parts = [np.frombuffer(x.as_py(), _BETWEEN) for x in b.column(3)]
+            every = np.concatenate([*parts, np.empty(0, _BETWEEN)])
+            owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+            id1, id2, base = (b.column(i).to_numpy()[owner] for i in range(3))
+            columns = [every["key"], every["whole"], id1, id2, base + every["first"], base + every["last"]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "whole", "id1", "id2", "first", "last"])
+
+    rows = cut(_bytes_of(data, "__text").mapInArrow(run, "key long, whole long, id1 long, id2 long, first long, last long, around binary, between binary"))
+    looked_up = rows.where("around IS NULL").drop("around").join(twice.withColumn("repeated", F.lit(True)), ["key", "whole"], "left")
+    doubtful = looked_up.where("repeated IS NULL AND between IS NOT NULL").select("id1", "id2", "first", "between")
+    doubtful = doubtful.mapInArrow(unpack, "key long, whole long, id1 long, id2 long, first long, last long").join(twice, ["key", "whole"], "left_semi")
+    full = looked_up.where("repeated").select("id1", "id2", "first", "last").union(doubtful.select("id1", "id2", "first", "last"))
+    near = rows.where("around IS NOT NULL").drop("between")
     sizes = near.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     near = near.join(sizes, "key")
     few = near.where(F.col("size") <= CROWDED).repartition("key").sortWithinPartitions("key").drop("size")

@@ -39,8 +39,10 @@ def corpus(seed):
     return texts + texts[10:14] + [texts[20][:-1], texts[21] + "!"]
 
 
-@pytest.mark.parametrize("seed,batches,chunk,crowded", [(1, 1, 1 << 19, 4096), (2, 4, 1 << 19, 3), (3, 3, 64, 4096), (4, 2, 64, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, batches, chunk, crowded):
+@pytest.mark.parametrize("seed,batches,chunk,crowded,bits", [(1, 1, 1 << 19, 4096, 1 << 28), (2, 4, 1 << 19, 3, 1 << 28), (3, 3, 64, 4096, 1 << 28), (4, 2, 64, 1, 1 << 28), (5, 2, 1 << 19, 4096, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, batches, chunk, crowded, bits):
+    """bits: with few, the filter lets most entries through."""
+    monkeypatch.setattr(suffixes, "MOST_FILTER_BITS", bits)
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     texts = corpus(seed)
@@ -76,3 +78,25 @@ def test_family_levels_are_geometric(spark):
     twice, alone = family.matches()
     assert sorted((r.key, r.whole) for r in twice.collect()) == [(9, 0), (9, 1)]
     assert alone.count() == 0
+
+
+def test_covering_entries_leave_nothing_out():
+    rng = random.Random(7)
+    text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    s = suffixes.Stretch([(i, 0, text(rng.randint(40, 900))) for i in range(12)], 40, 20)
+    covered = lambda spans: {(t, x) for t, f, e in spans for x in range(f, e)}
+    span = lambda i: (int(s.text[i]), int(s.first[i]), int(s.last[i]) + 40)
+    for share in (1, 0.9, 0.5, 0):
+        found = suffixes.np.array([i for i in range(len(s.first)) if rng.random() < share], int)
+        chosen, between = suffixes._covering(s, found)
+        assert covered(map(span, chosen)) == covered(map(span, found)) and len(chosen) == len(between)
+        for wrong in [{int(c) for c in chosen if rng.random() < p} for p in (0.1, 0.5)]:
+            right = [i for i in found.tolist() if i not in wrong]
+            spans = [span(i) for i in chosen.tolist() if i not in wrong]
+            places = {(int(s.key[i].view("i8")), int(s.whole[i].view("i8"))) for i in right}
+            for i, near in zip(chosen.tolist(), between, strict=True):
+                if i in wrong and near:
+                    for r in suffixes.np.frombuffer(near, suffixes._BETWEEN):
+                        if (int(r["key"]), int(r["whole"])) in places:
+                            spans.append((int(s.text[i]), int(s.first[i]) + int(r["first"]), int(s.first[i]) + int(r["last"]) + 40))
+            assert covered(spans) == covered(map(span, right))
