@@ -25,20 +25,24 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 BLOCKS, CROWDED = 4, 256
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> list[int]:
+    """Of each run of so many words, in order; of the whole where there are fewer."""
+    if len(words) <= shingle:
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)]
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]
+
+
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, unsigned; zero where there are no words."""
     words = data.lower().split()  # of bytes: A-Z only, and 0x20, 0x09 to 0x0D only
     if not words:
         return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]
+    hashes = shingle_hashes(words, shingle, seed)
     counts = np.zeros(64, np.int64)
     values = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(values), 1 << 15):
