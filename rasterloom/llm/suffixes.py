@@ -13,6 +13,8 @@ are looked up as cover all its bytes; those in between are looked up only where
 bytes around the anchor go to the other ends of the match, once for each entry, and the strings in them are
 compared one by one, by a hash of their own. Two different strings are taken for equal only if both hashes of
 64 bits agree.
+
+The units are bytes, or words, each by a hash of 64 bits; what is said of bytes here then holds for these.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,9 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remove, shared_dir
+from .common import cut, forget, remove, shared_dir
 
 LENGTH, KEY, BATCHES = 400, 200, 4
+#: Of passages by words: over 50 words are 51 or more.
+WORDS, WORDS_KEY = 51, 20
 #: Bytes that are hashed at a time; a longer text is read in stretches that overlap by length - 1.
 CHUNK = 1 << 19
 #: Entries of one key that are compared in one task; the strings of what has more are dealt out by their hashes.
@@ -57,6 +62,16 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
+_SPACED = re.compile(rb"\S+")
+
+
+def _units(data: bytes | None, words: bool) -> bytes | np.ndarray | None:
+    """A text as it is, or its words' hashes."""
+    if not words or data is None:
+        return data
+    return _mix(np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in data.split()), np.uint64))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -68,19 +83,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of which a difference, times the second array's entry of its first place, is the hash of what lies between."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
+    np.cumsum((_VALUE[data] if data.dtype == np.uint8 else data) * _power(_BASE, len(data)), out=sums[1:])
     return sums, _power(_INVERSE, len(data))
 
 
 class Stretch:
     """Anchors of the strings of a few texts laid end to end."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], length: int, key: int) -> None:
+    def __init__(self, parts: list[tuple[int, int, bytes | np.ndarray]], length: int, key: int) -> None:
         """parts: (text's number, place of the first byte in it, at least `length` bytes)"""
         self.parts, self.length = parts, length
         sizes = np.fromiter((len(p[2]) for p in parts), np.int64, len(parts))
         ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8 if isinstance(parts[0][2], bytes) else np.uint64)
         n = len(data)
         self.data = data
         self.sums, self.back = _sums(data)
@@ -145,19 +160,20 @@ def _covering(s: Stretch, found: np.ndarray) -> tuple[np.ndarray, list[bytes | N
     return found[chosen], between
 
 
-def _strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(contexts: list[bytes], length: int, words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each string of each context: the context's number, the string's place in it, its hash."""
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    kind = np.dtype(np.uint64 if words else np.uint8)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) // kind.itemsize
     begin, count = np.cumsum(sizes) - sizes, sizes - length + 1
-    sums, back = _sums(np.frombuffer(b"".join(contexts), np.uint8))
+    sums, back = _sums(np.frombuffer(b"".join(contexts), kind))
     owner = np.repeat(np.arange(len(contexts)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = begin[owner] + place
     return owner, place, _mix((sums[at + length] - sums[at]) * back[at])
 
 
-def _stretches(texts: Iterator[bytes | None], length: int, key: int) -> Iterator[Stretch]:
-    held: list[tuple[int, int, bytes]] = []
+def _stretches(texts: Iterator[bytes | np.ndarray | None], length: int, key: int) -> Iterator[Stretch]:
+    held: list[tuple[int, int, bytes | np.ndarray]] = []
     size = 0
     for number, data in enumerate(texts):
         n = len(data) if data is not None else 0
@@ -176,12 +192,12 @@ def _bytes_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("data"))
 
 
-def entries(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
+def entries(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, words: bool = False) -> DataFrame:
     """(key, whole, n): the sparse suffix array's entries, a few times over where a text repeats them; n is 1 or 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _stretches((x.as_py() for x in b.column(0)), length, key):
+            for s in _stretches((_units(x.as_py(), words) for x in b.column(0)), length, key):
                 order = np.lexsort((s.whole, s.key))
                 k, w = s.key[order], s.whole[order]
                 fresh = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
@@ -288,17 +304,17 @@ def identity(data: Column) -> list[Column]:
     return [F.xxhash64(data), F.shiftleft(F.crc32(data), 31) + F.octet_length(data)]
 
 
-def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES) -> DataFrame:
+def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, words: bool = False) -> DataFrame:
     """(id1, id2, spans): for each text with repeated strings of `length` bytes, what they cover.
 
-    spans: binary, little-endian 64-bit [first, end) pairs, disjoint and ascending.
+    spans: binary, little-endian 64-bit [first, end) pairs, disjoint and ascending; in words, if `length` and `key` are.
     """
     spark = docs.sparkSession
     family = SuffixFamily(spark)
-    data = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).where(F.octet_length("__text") >= length)
+    data = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).where(F.octet_length("__text") >= (2 * length - 1 if words else length))
     for i in range(batches):
         part = data.where(F.pmod(F.xxhash64("__text"), F.lit(batches)) == i) if batches > 1 else data
-        family.add(entries(part, text="__text", length=length, key=key))
+        family.add(entries(part, text="__text", length=length, key=key, words=words))
     twice, alone = family.matches()
     twice, alone = cut(twice), cut(alone)
     family.close()
@@ -312,7 +328,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             id1 = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in texts), np.uint64, len(texts)).view(np.int64)
             id2 = np.fromiter(((zlib.crc32(x) << 31) + len(x) for x in texts), np.int64, len(texts))
             sent: set[tuple[int, int]] = set()
-            for s in _stretches(iter(texts), length, key):
+            for s in _stretches((_units(x, words) for x in texts), length, key):
                 full, between = _covering(s, np.flatnonzero(_in(whole_filter, s.whole)))
                 part = []
                 for i in np.flatnonzero(_in(key_filter, s.key)).tolist():
@@ -359,7 +375,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             keys = held.column(0).to_numpy()
             end = len(keys) if b is None else int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
             rest = held.slice(end)
-            yield from _shared(held.slice(0, end), length)
+            yield from _shared(held.slice(0, end), length, words)
 
     found = few.mapInArrow(compare, "id1 long, id2 long, first long, last long")
     crowded = near.where(F.col("size") > CROWDED).drop("size")
@@ -368,7 +384,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                owner, place, hashed = _strings(part.column(6).to_pylist(), length)
+                owner, place, hashed = _strings(part.column(6).to_pylist(), length, words)
                 first = part.column(4).to_numpy()[owner] + place
                 names = ["key", "whole", "id1", "id2", "first", "hash"]
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(owner)) for i in range(4)), pa.array(first), pa.array(hashed.view(np.int64))], names)
@@ -391,7 +407,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
     return listed.mapInArrow(join, "id1 long, id2 long, spans binary")
 
 
-def _shared(b: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+def _shared(b: pa.RecordBatch, length: int, words: bool) -> Iterator[pa.RecordBatch]:
     """(id1, id2, first, last) of the strings that are in two or more different entries of a key."""
     at, n = 0, b.num_rows
     keys = b.column(0).to_numpy()
@@ -404,7 +420,7 @@ def _shared(b: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
         entry = np.stack((part.column(0).to_numpy(), part.column(1).to_numpy()), axis=1)
         _, once = np.unique(entry, axis=0, return_index=True)
         part = part.take(pa.array(np.sort(once)))
-        owner, place, hashed = _strings(part.column(6).to_pylist(), length)
+        owner, place, hashed = _strings(part.column(6).to_pylist(), length, words)
         pairs = np.empty(len(owner), [("key", "<i8"), ("hash", "<u8")])
         pairs["key"], pairs["hash"] = part.column(0).to_numpy()[owner], hashed
         order = np.lexsort((pairs["hash"], pairs["key"]))
@@ -430,6 +446,41 @@ def _cover(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack((first[fresh], reach[np.append(fresh[1:] - 1, len(reach) - 1)]), axis=1)
 
 
+def _in_bytes(data: bytes, spans: bytes) -> np.ndarray:
+    """Spans of words as spans of bytes, from the first word's first to the last one's last."""
+    at = np.array([m.span() for m in _SPACED.finditer(data)], "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
+    return np.stack((at[pairs[:, 0], 0], at[pairs[:, 1] - 1, 1]), axis=1)
+
+
+def _together(docs: DataFrame, text: str, **options) -> DataFrame:
+    """As `repeats`, also with what repeated strings of WORDS words cover."""
+    by_bytes = cut(repeats(docs, text=text, **options))
+    forget(docs.sparkSession)
+    by_words = cut(repeats(docs, text=text, **options | {"length": WORDS, "key": WORDS_KEY, "words": True}))
+    forget(docs.sparkSession)
+    data = F.col(f"`{text}`").cast("string")
+    rows = docs.select(data.cast("binary").alias("data"), *(c.alias(n) for c, n in zip(identity(data), ("id1", "id2"), strict=True)))
+    rows = rows.join(by_words, ["id1", "id2"]).dropDuplicates(["id1", "id2"])
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [_in_bytes(d.as_py(), s.as_py()).tobytes() for d, s in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id1", "id2", "spans"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = []
+            for x in b.column(2).to_pylist():
+                pairs = np.frombuffer(b"".join(x), "<i8").reshape(-1, 2)
+                spans.append(_cover(pairs[:, 0], pairs[:, 1]).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id1", "id2", "spans"])
+
+    kind = "id1 long, id2 long, spans binary"
+    every = by_bytes.union(rows.select("id1", "id2", "data", "spans").mapInArrow(turned, kind))
+    return every.groupBy("id1", "id2").agg(F.collect_list("spans").alias("spans")).mapInArrow(joined, kind)
+
+
 def _kept(data: bytes, spans: bytes | None) -> tuple[bytes, int]:
     """What is left of a text, and the number of removed runs."""
     if not spans:
@@ -443,9 +494,9 @@ def _kept(data: bytes, spans: bytes | None) -> tuple[bytes, int]:
     return b"".join(out), len(pairs)
 
 
-def _with_spans(docs: DataFrame, text: str, carried: list[Column], **options) -> DataFrame:
+def _with_spans(docs: DataFrame, text: str, carried: list[Column], by_words: bool = False, **options) -> DataFrame:
     """The carried columns, then text as data, and spans; one row for each row of docs."""
-    found = repeats(docs, text=text, **options).select(F.col("id1").alias("__id1"), F.col("id2").alias("__id2"), F.col("spans").alias("__spans"))
+    found = (_together if by_words else repeats)(docs, text=text, **options).select(F.col("id1").alias("__id1"), F.col("id2").alias("__id2"), F.col("spans").alias("__spans"))
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id1, id2 = identity(data)
     rows = docs.select(*carried, data.cast("binary").alias("__data"), id1.alias("__k1"), id2.alias("__k2"))
@@ -485,14 +536,15 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
 
 
-def clean_texts(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES) -> DataFrame:
+def clean_texts(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, by_words: bool = False) -> DataFrame:
     """docs with what `remove_repeats` leaves of each text, all other columns as they are; a null text stays null.
 
-    A character that is cut through goes whole.
+    A character that is cut through goes whole. by_words: passages of WORDS words or more that start elsewhere too go as well,
+    however few bytes they have and whatever blanks stand between the words.
     """
     names = [c for c in docs.columns if c != text]
     own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)]
-    rows = _with_spans(docs, text, [*own, F.col(f"`{text}`").isNull().alias("__null")], length=length, key=key, batches=batches)
+    rows = _with_spans(docs, text, [*own, F.col(f"`{text}`").isNull().alias("__null")], by_words=by_words, length=length, key=key, batches=batches)
 
     @F.pandas_udf("string")
     def left(data, spans):

@@ -100,3 +100,40 @@ def test_covering_entries_leave_nothing_out():
                         if (int(r["key"]), int(r["whole"])) in places:
                             spans.append((int(s.text[i]), int(s.first[i]) + int(r["first"]), int(s.first[i]) + int(r["last"]) + 40))
             assert covered(spans) == covered(map(span, right))
+
+
+@pytest.mark.parametrize("seed,crowded,bits", [(1, 4096, 1 << 28), (2, 1, 1 << 28), (3, 4096, 1)])
+def test_passages_of_over_fifty_words(spark, monkeypatch, seed, crowded, bits):
+    """Short words, so that bytes alone don't find them; those of 50 words stay."""
+    import re
+
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
+    monkeypatch.setattr(suffixes, "MOST_FILTER_BITS", bits)
+    rng = random.Random(seed)
+    prose = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 6))) for _ in range(n))
+    passages = [prose(n) for n in (51, 51, 50, 60, 45)]
+    texts = [None, "", prose(51)]
+    for _ in range(30):
+        p = rng.choice(passages)
+        texts.append(prose(rng.randint(0, 60)) + rng.choice([" ", "\n"]) + rng.choice([p, p, p.replace(" ", "\n", 3)]) + " " + prose(rng.randint(0, 60)))
+    words = [[m.group() for m in re.finditer(rb"\S+", (t or "").encode())] for t in texts]
+    seen = {}
+    for i, w in enumerate(words):
+        for at in range(len(w) - 50):
+            seen.setdefault(tuple(w[at : at + 51]), []).append((i, at))
+    gone = {(i, at + k) for found in seen.values() if len(found) > 1 for i, at in found for k in range(51)}
+    left = {i: [x for k, x in enumerate(w) if (i, k) not in gone] for i, w in enumerate(words)}
+    assert gone and any(passages[2].split()[7].encode() in w for w in left.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in suffixes.clean_texts(df, by_words=True).collect()}
+    assert got[0] is None and {i: (t or "").encode().split() for i, t in got.items()} == left
+    assert all(len(p.encode()) < suffixes.LENGTH for p in passages)
+    stage = __import__("corpus_pipeline").suffix_stage(spark, df, "")
+    assert {r.doc_id: (r.text or "").encode().split() for r in stage.collect()} == {i: w for i, w in left.items() if w or not texts[i]}
+
+
+def test_passages_are_whole_documents(spark):
+    text = " ".join(f"w{i}" for i in range(51))
+    df = spark.createDataFrame([(1, text + "\n"), (2, "\t" + text), (3, " "), (4, text[:-3])], "doc_id long, text string")
+    stage = __import__("corpus_pipeline").suffix_stage(spark, df, "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {3: " ", 4: text[:-3]}
