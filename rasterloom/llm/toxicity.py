@@ -145,8 +145,8 @@ def edits_for_size(n: int) -> int:
 class Lexicon:
     """Terms with weights (log odds), weights of words near them, and the words that look like a term but are ordinary.
 
-    The last `stems` terms are beginnings, with which all words count that go on from them; they are met as they are
-    written only.
+    The last `stems` terms are beginnings, with which all words count that go on from them. `under` has the counted
+    words that begin with a stem, with its number: misspelled ones count as misspelled terms of the stem.
     """
 
     terms: list[str] = field(default_factory=list)
@@ -154,13 +154,16 @@ class Lexicon:
     ordinary: frozenset[str] = frozenset()
     near: list[float] = field(default_factory=list)
     stems: int = 0
+    under: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         words = len(self.terms) - self.stems
         self.exact = {t: i for i, t in enumerate(self.terms[:words])}
         self.begin = {t: i for i, t in enumerate(self.terms) if i >= words}
         self.sizes = sorted({len(t) for t in self.begin}, reverse=True)
-        self.products = [None, Product(self.terms[:words], 1), Product(self.terms[:words], 2)]
+        met = [*self.terms[:words], *self.under]
+        self.number = [*range(words), *self.under.values()]
+        self.products = [None, Product(met, 1), Product(met, 2)]
         self.known: dict[str, tuple[int, int] | None] = {}
 
     def find(self, word: str) -> tuple[int, int] | None:
@@ -174,7 +177,7 @@ class Lexicon:
         if not edits or word in self.ordinary:
             return None
         found = self.products[edits].nearest(word)
-        return (found[1], found[0]) if found else None
+        return (self.number[found[1]], found[0]) if found else None
 
     def _learn(self, word: str) -> tuple[int, int] | None:
         found = self.find(word)
@@ -262,7 +265,10 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexi
             stems[own] = odds
     words = [(w, o) for _, _, w, o, _ in found if w[-1:] != "*" and not any(w[:n] in stems for n in STEM_SIZES)]
     kept = [*words[: TERMS - min(len(stems), TERMS // 2)], *list(stems.items())[: TERMS // 2]]
-    return Lexicon([w for w, _ in kept], [o for _, o in kept], stems=min(len(stems), TERMS // 2))
+    terms = [w for w, _ in kept]
+    numbers = {w: i for i, w in enumerate(terms) if i >= len(terms) - min(len(stems), TERMS // 2)}
+    under = {w: numbers[w[:n]] for w, _, _ in counts if w[-1:] != "*" for n in STEM_SIZES if w[:n] in numbers}
+    return Lexicon(terms, [o for _, o in kept], stems=len(numbers), under=under)
 
 
 def _near_weight(t: int, c: int, toxic: int, clean: int, most: float) -> float:
@@ -361,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     ordinary = frozenset(r.word for r in usual.select("word").mapInArrow(near, "word string").collect())
-    first, final = (Lexicon(x.terms, x.weights, ordinary, stems=x.stems) for x in (first, final))
+    first, final = (Lexicon(x.terms, x.weights, ordinary, stems=x.stems, under=x.under) for x in (first, final))
     shown = docs.sparkSession.sparkContext.broadcast((first, final))
 
     def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,3 +138,12 @@ def test_unseen_words_fall_back_to_the_longest_known_grams():
     assert m.word("known")[0] == [m.rows[0]["known"]]
     assert m.word("uxyzu") == ([m.rows[3]["xyz"]], 3 / language.LONGEST)
     assert m.word("qq")[0] == [m.rows[1]["q"]] * 2 and m.word("z") == ([], 0.0)
+
+
+def test_misspelled_words_with_a_stem_are_met():
+    lexicon = toxicity._lexicon([("skrum*", 30, 0), ("skrumling", 10, 0), ("skrumlord", 10, 0), ("skrumbag", 10, 0)], 100, 200)
+    assert lexicon.terms == ["skrum"] and lexicon.stems == 1
+    assert lexicon.find("skrumling") == lexicon.find("skrumwort") == (0, 0)
+    assert lexicon.find("skrvmlord") == lexicon.find("krumbag") == (0, 1) and lexicon.find("sgrvmling") == (0, 2)
+    assert lexicon.find("umbrella") is None
+    assert lexicon.features("what a skrvmlord that is")[toxicity.FEATURES.index("misspelled")] > 0
