@@ -33,7 +33,8 @@ STEM_SIZES, STEM_GAIN = range(4, 9), 2
 HELD_COUNTS = 200_000
 
 _WORD = re.compile(r"\w+")
-_QUOTES = frozenset("\"“”„«»‘’'`")
+#: Quotation marks, and the end of a line.
+_MARK = re.compile("[\"“”„«»‘’'`\n]")
 #: Words that report what others say. The lexicon is learned; these only set a weight of their own.
 _REPORT = frozenset("said says wrote writes called calls quote quoted quoting word words term reported comment sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split())
 _PERSON = frozenset("you your youre u du dich dir dein ihr euch tu te toi ton ta vous votre tú ti tus usted vosotros".split())
@@ -197,17 +198,25 @@ class Lexicon:
         if not terms:
             return [0.0] * len(FEATURES)
         hits = [(i, terms[w]) for i, w in enumerate(words) if w in terms]
-        # Places of words in the text and whether an odd number of quotation marks came before in the line
+        # Whether an odd number of quotation marks came before each hit in its line
         low = text.lower()
         spans = [m.start() for m in _WORD.finditer(low)]
+        marks, odd, inside = _MARK.finditer(low), False, []
+        mark = next(marks, None)
+        for i, _ in hits:
+            while mark is not None and (p := mark.start()) < spans[i]:
+                if low[p] == "\n":
+                    odd = False
+                elif not (low[p] in "'’`" and p and low[p - 1].isalnum()):
+                    odd = not odd
+                mark = next(marks, None)
+            inside.append(odd)
         direct = misspelled = quoted = crowded = person = strongest = 0.0
         places = [i for i, _ in hits]
         for n, (i, (term, e)) in enumerate(hits):
             weight = self.near[term] if e and self.near else self.weights[term]
             around = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            line = low.rfind("\n", 0, spans[i]) + 1
-            marks = sum(1 for p in range(max(line, spans[i] - 400), spans[i]) if low[p] in _QUOTES and not (low[p] in "'’`" and p and low[p - 1].isalnum()))
-            told = marks % 2 == 1 or not _REPORT.isdisjoint(around)
+            told = inside[n] or not _REPORT.isdisjoint(around)
             near = (n > 0 and i - places[n - 1] <= CONTEXT) or (n + 1 < len(places) and places[n + 1] - i <= CONTEXT)
             if told:
                 quoted += weight

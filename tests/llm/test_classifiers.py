@@ -147,3 +147,11 @@ def test_misspelled_words_with_a_stem_are_met():
     assert lexicon.find("skrvmlord") == lexicon.find("krumbag") == (0, 1) and lexicon.find("sgrvmling") == (0, 2)
     assert lexicon.find("umbrella") is None
     assert lexicon.features("what a skrvmlord that is")[toxicity.FEATURES.index("misspelled")] > 0
+
+
+def test_quotations_are_counted_from_the_start_of_the_line():
+    lexicon = toxicity.Lexicon(["skrumling"], [3.0])
+    told = lambda text: lexicon.features(text)[toxicity.FEATURES.index("quoted")] > 0
+    long = "plain talk " * 60
+    assert told(f'"{long} skrumling {long}"') and told('"skrumling"') and not told(f'"\n{long} skrumling')
+    assert not told(f'"{long}" skrumling') and not told("it's a skrumling")
