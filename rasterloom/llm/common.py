@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits for each key, and the most bits, of a filter; an exact join follows each use of one.
+FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 28
+_SHIFTS = (0, 18, 36)
+
+
+def bloom(keys: DataFrame, n: int, most: int = MOST_FILTER_BITS) -> np.ndarray:
+    """Bloom filter of the n longs in column h as 64-bit words; no more than `most` bits however many keys there are."""
+    bits = 1 << 10
+    while bits < min(n * FILTER_BITS, most):
+        bits *= 2
+    one, h = F.lit(1).cast("bigint"), F.col("h")
+    spots = F.array(*(F.pmod(F.shiftrightunsigned(h, s), F.lit(bits)) for s in _SHIFTS))
+    words = keys.select(F.explode(spots).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    if got.num_rows:
+        out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned h may be in the filter."""
+    out = np.ones(len(h), bool)
+    for s in _SHIFTS:
+        at = (h >> np.uint64(s)) & np.uint64(len(words) * 64 - 1)
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def slices(b: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """[first, end) of consecutive rows whose binary column holds about so many bytes together, one row at least."""
+    sizes = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in b.column(column)), np.int64, b.num_rows)
+    ends, first = np.cumsum(sizes), 0
+    while first < b.num_rows:
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, end
+        first = end
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable over the links a-b.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, remove, shared_dir
+from .common import MOST_FILTER_BITS, bloom, cut, forget, passes, remove, shared_dir
 
 LENGTH, KEY, BATCHES = 400, 200, 4
 #: Of passages by words: over 50 words are 51 or more.
@@ -42,8 +42,6 @@ WORDS, WORDS_KEY = 51, 20
 CHUNK = 1 << 19
 #: Entries of one key that are compared in one task; the strings of what has more are dealt out by their hashes.
 CROWDED = 4096
-#: Bits for each key, and the most bits, of the filters that spare the second pass most entries. Exact joins follow.
-FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 28
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _VALUE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -272,33 +270,6 @@ class SuffixFamily:
         remove(self.spark, self.at)
 
 
-def _filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of column h as 64-bit words; no larger than MOST_FILTER_BITS however many keys there are."""
-    bits = 1 << 10
-    while bits < min(n * FILTER_BITS, MOST_FILTER_BITS):
-        bits *= 2
-    one = F.lit(1).cast("bigint")
-    h = F.col("h")
-    spots = F.array(*(F.pmod(F.shiftrightunsigned(h, s), F.lit(bits)) for s in _SHIFTS))
-    words = keys.select(F.explode(spots).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    if got.num_rows:
-        out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-_SHIFTS = (0, 18, 36)
-
-
-def _in(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for s in _SHIFTS:
-        at = (h >> np.uint64(s)) & np.uint64(len(words) * 64 - 1)
-        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
 def identity(data: Column) -> list[Column]:
     """Two longs by which equal texts are known: XXH64, and CRC32 with the length."""
     return [F.xxhash64(data), F.shiftleft(F.crc32(data), 31) + F.octet_length(data)]
@@ -319,7 +290,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
     twice, alone = cut(twice), cut(alone)
     family.close()
     n_twice, n_alone = twice.count(), alone.count()
-    filters = spark.sparkContext.broadcast((_filter(twice.select(F.col("whole").alias("h")), n_twice), _filter(alone.select(F.col("key").alias("h")), n_alone)))
+    filters = spark.sparkContext.broadcast((bloom(twice.select(F.col("whole").alias("h")), n_twice, MOST_FILTER_BITS), bloom(alone.select(F.col("key").alias("h")), n_alone, MOST_FILTER_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole_filter, key_filter = filters.value
@@ -329,9 +300,9 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             id2 = np.fromiter(((zlib.crc32(x) << 31) + len(x) for x in texts), np.int64, len(texts))
             sent: set[tuple[int, int]] = set()
             for s in _stretches((_units(x, words) for x in texts), length, key):
-                full, between = _covering(s, np.flatnonzero(_in(whole_filter, s.whole)))
+                full, between = _covering(s, np.flatnonzero(passes(whole_filter, s.whole)))
                 part = []
-                for i in np.flatnonzero(_in(key_filter, s.key)).tolist():
+                for i in np.flatnonzero(passes(key_filter, s.key)).tolist():
                     if (entry := (int(s.key[i]), int(s.whole[i]))) not in sent:  # equal entries have equal bytes
                         sent.add(entry)
                         part.append(i)
