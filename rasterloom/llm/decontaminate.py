@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 
 WINDOW = 10
 #: Words of a segment (a longer document is a segment by itself), and test words that are held and sent to
@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], *, doc_id: str = "doc_
         if parts:
             yield segment(at, keys, parts, key_type)
 
-    return chosen.mapInArrow(run, _INDEX.format(kind))
+    return chosen.transform(mapped, run, _INDEX.format(kind))
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def term_counts(index: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms", "counts").transform(mapped, run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Segment:
@@ -262,7 +262,7 @@ def search_phrases(index: DataFrame, tests: Tests) -> DataFrame:
                 columns = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(keys, b.schema.field(1).type.value_type), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(own, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "doc_id", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, f"segment long, place int, doc_id {kind}, n_words long, spans array<struct<first:int,end:int>>, items array<string>")
+    return index.transform(mapped, run, f"segment long, place int, doc_id {kind}, n_words long, spans array<struct<first:int,end:int>>, items array<string>")
 
 
 def search_near(index: DataFrame, terms: dict[bytes, int], queries: dict[str, list[str]], within: int) -> DataFrame:
@@ -279,7 +279,7 @@ def search_near(index: DataFrame, terms: dict[bytes, int], queries: dict[str, li
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), b.schema.field(1).type.value_type, pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["query", "doc_id", "first", "last"])
 
-    return index.mapInArrow(run, f"query string, doc_id {kind}, first long, last long")
+    return index.transform(mapped, run, f"query string, doc_id {kind}, first long, last long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

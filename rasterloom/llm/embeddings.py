@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, mapped
 
 COSINE = 0.98
 #: Vectors a cell should have; at most so many pivots, so that they may be broadcast; rows of a block.
@@ -67,7 +67,7 @@ def _assign(classes: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
             taken = b.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], [*b.schema.names, "cell", "home"])
 
-    return classes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cell int, home boolean")
+    return classes.transform(mapped, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cell int, home boolean")
 
 
 def _cell_join(cosine: float):

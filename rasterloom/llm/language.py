@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 from .labelled import held_out
 
 #: At most so many documents are learned from; the model holds at most so many entries of a kind (words, or n-grams
@@ -104,7 +104,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                     yield out()
         yield out()
 
-    counted = cut(chosen.mapInArrow(run, "kind int, lang string, entry string, n long").groupBy("kind", "lang", "entry").agg(F.sum("n").alias("n")))
+    counted = cut(chosen.transform(mapped, run, "kind int, lang string, entry string, n long").groupBy("kind", "lang", "entry").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({x for _, x in totals})
     order = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry")
@@ -159,4 +159,4 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                 scores.append(float(odds[best] / odds.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, lang_pred string, score double")
+    return chosen.transform(mapped, run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, lang_pred string, score double")

@@ -9,9 +9,11 @@ need no padding. There is no shuffle; a lost task is done again from its own row
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 WINDOW, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k"
 #: What one batch of remainders may hold: documents and bytes of ids. Bounds memory, not the result's completeness.
 BATCH_DOCS, BATCH_BYTES = 20_000, 48 << 20
-CACHED_WORDS = 200_000
 
 
 class CapacityTree:
@@ -120,65 +123,42 @@ def pack(lengths: Sequence[int], window: int = WINDOW) -> list[list[tuple[int, i
     return [w for w in windows if w]
 
 
-#: White space before a blank or line end: there a word's tokens may depend on what follows.
-_RUN = re.compile(r"\s[ \n]")
-
-
-class _Words(dict):
-    """Ids as little-endian unsigned 32-bit of what stands between two cuts before single blanks or line ends."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.encode(key if key[:1] == "\n" else f" {key}")
-        if len(key) <= 40:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[key] = ids
-        return ids
+#: Characters of which both libraries below have the same classes: scripts that have long been in Unicode.
+_SETTLED = "\x00-\u024f\u0370-\u03ff\u0400-\u052f\u2000-\u206f\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3"
+_UNSETTLED = re.compile(f"[^{_SETTLED}]")
 
 
 class Encoder:
-    """Ids of texts by a file of public tokenizers.
-
-    The tokenizer's first split never puts a blank or line end that follows other text into the same piece as
-    that text, so a text without runs of white space can be cut there and the ids of its words be kept.
-    """
+    """Ids of texts by a file of public tokenizers, as little-endian unsigned 32-bit."""
 
     def __init__(self, name: str = TOKENIZER) -> None:
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.quick = None
+        self.path = public_tokenizers.path(f"{name}.json")
+        self.quick, self.added = None, None
         if name == "byte_bpe_50k":  # the same vocabulary and merges as ranks, for a quicker library
             import base64
+            import json
 
             import tiktoken
 
             with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Words(self._encode)
+            with open(self.path, encoding="utf-8") as f:
+                self.added = re.compile("|".join(re.escape(t["content"]) for t in json.load(f)["added_tokens"]) or "(?!)")
 
-    def _encode(self, text: str) -> bytes:
-        # Latin letters only: the libraries' Unicode tables can differ for scripts added of late
-        if self.quick and max(text, default="") < "ɐ":
-            ids = self.quick.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _RUN.search(text):
-            return self._encode(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._encode(first) + b"".join(map(self.words.__getitem__, rest)) if first or rest else b""
+        if self.quick and (text.isascii() or not _UNSETTLED.search(text)) and not self.added.search(text):
+            with contextlib.suppress(ValueError):  # its split gives up on very long runs of white space
+                return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -257,4 +237,4 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         if held:
             yield from flush()
 
-    return chosen.mapInArrow(run, out_type)
+    return chosen.transform(mapped, run, out_type)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .labelled import held_out, sample
 
 #: At most so many labelled rows are learned from.
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_features_of(b, 0).tolist(), pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
-    got = chosen.select(F.col("text").cast("binary"), "label").mapInArrow(run, "x array<double>, label int").toArrow()
+    got = chosen.select(F.col("text").cast("binary"), "label").transform(mapped, run, "x array<double>, label int").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, len(FEATURES))
     order = np.lexsort(x.T)  # the same model in whatever order rows come
     return fit(x[order], (got["label"].to_numpy()[order] > 0).astype(float))
@@ -189,4 +190,4 @@ def score(docs: DataFrame, model: AdditiveModel, *, threshold: float = THRESHOLD
             s = sent.value.score(_features_of(b, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double, predicted int")
+    return chosen.transform(mapped, run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double, predicted int")

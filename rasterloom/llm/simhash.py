@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, mapped
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BLOCKS, CROWDED = 4, 256
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             got = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
-    return chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, fp long")
+    return chosen.transform(mapped, run, f"doc_id {dict(docs.dtypes)[doc_id]}, fp long")
 
 
 def _keys(fp: Column, distance: int) -> Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_FILTER_BITS, bloom, cut, forget, passes, remove, shared_dir
+from .common import MOST_FILTER_BITS, bloom, cut, forget, mapped, passes, remove, shared_dir
 
 LENGTH, KEY, BATCHES = 400, 200, 4
 #: Of passages by words: over 50 words are 51 or more.
@@ -202,7 +202,7 @@ def entries(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
                 n = np.minimum(np.diff(np.append(fresh, len(k))), 2).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(k[fresh].view(np.int64)), pa.array(w[fresh].view(np.int64)), pa.array(n)], ["key", "whole", "n"])
 
-    return _bytes_of(docs, text).mapInArrow(run, "key long, whole long, n int")
+    return _bytes_of(docs, text).transform(mapped, run, "key long, whole long, n int")
 
 
 class SuffixFamily:
@@ -322,10 +322,10 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             columns = [every["key"], every["whole"], id1, id2, base + every["first"], base + every["last"]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["key", "whole", "id1", "id2", "first", "last"])
 
-    rows = cut(_bytes_of(data, "__text").mapInArrow(run, "key long, whole long, id1 long, id2 long, first long, last long, around binary, between binary"))
+    rows = cut(_bytes_of(data, "__text").transform(mapped, run, "key long, whole long, id1 long, id2 long, first long, last long, around binary, between binary"))
     looked_up = rows.where("around IS NULL").drop("around").join(twice.withColumn("repeated", F.lit(True)), ["key", "whole"], "left")
     doubtful = looked_up.where("repeated IS NULL AND between IS NOT NULL").select("id1", "id2", "first", "between")
-    doubtful = doubtful.mapInArrow(unpack, "key long, whole long, id1 long, id2 long, first long, last long").join(twice, ["key", "whole"], "left_semi")
+    doubtful = doubtful.transform(mapped, unpack, "key long, whole long, id1 long, id2 long, first long, last long").join(twice, ["key", "whole"], "left_semi")
     full = looked_up.where("repeated").select("id1", "id2", "first", "last").union(doubtful.select("id1", "id2", "first", "last"))
     near = rows.where("around IS NOT NULL").drop("between")
     sizes = near.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -348,7 +348,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             rest = held.slice(end)
             yield from _shared(held.slice(0, end), length, words)
 
-    found = few.mapInArrow(compare, "id1 long, id2 long, first long, last long")
+    found = few.transform(mapped, compare, "id1 long, id2 long, first long, last long")
     crowded = near.where(F.col("size") > CROWDED).drop("size")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +360,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
                 names = ["key", "whole", "id1", "id2", "first", "hash"]
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(owner)) for i in range(4)), pa.array(first), pa.array(hashed.view(np.int64))], names)
 
-    single = crowded.mapInArrow(split, "key long, whole long, id1 long, id2 long, first long, hash long")
+    single = crowded.transform(mapped, split, "key long, whole long, id1 long, id2 long, first long, hash long")
     again = single.groupBy("key", "hash").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("key", "hash")
     found = found.union(single.join(again, ["key", "hash"], "left_semi").select("id1", "id2", "first", F.col("first").alias("last")))
     full = full.union(found)
@@ -375,7 +375,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
                 spans.append(_cover(v.field(0).to_numpy(), v.field(1).to_numpy() + length).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id1", "id2", "spans"])
 
-    return listed.mapInArrow(join, "id1 long, id2 long, spans binary")
+    return listed.transform(mapped, join, "id1 long, id2 long, spans binary")
 
 
 def _shared(b: pa.RecordBatch, length: int, words: bool) -> Iterator[pa.RecordBatch]:
@@ -448,8 +448,8 @@ def _together(docs: DataFrame, text: str, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary())], ["id1", "id2", "spans"])
 
     kind = "id1 long, id2 long, spans binary"
-    every = by_bytes.union(rows.select("id1", "id2", "data", "spans").mapInArrow(turned, kind))
-    return every.groupBy("id1", "id2").agg(F.collect_list("spans").alias("spans")).mapInArrow(joined, kind)
+    every = by_bytes.union(rows.select("id1", "id2", "data", "spans").transform(mapped, turned, kind))
+    return every.groupBy("id1", "id2").agg(F.collect_list("spans").alias("spans")).transform(mapped, joined, kind)
 
 
 def _kept(data: bytes, spans: bytes | None) -> tuple[bytes, int]:
@@ -504,7 +504,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    return rows.transform(mapped, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
 
 
 def clean_texts(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, by_words: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 from .labelled import held_out, sample
 
 #: At most so many labelled rows are learned from, and so many terms are kept.
@@ -319,7 +319,7 @@ def _without_copies(chosen: DataFrame) -> DataFrame:
             keys = [sketch(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["text", "label", "half", "sketch"])
 
-    told = chosen.mapInArrow(run, "text string, label int, half int, sketch long")
+    told = chosen.transform(mapped, run, "text string, label int, half int, sketch long")
     first = told.groupBy("sketch", "label").agg(F.min(F.struct(F.length("text"), "text")).alias("t"))
     return first.select("t.text", "label", F.pmod(F.xxhash64(F.lit("half"), "sketch"), F.lit(2)).cast("int").alias("half"))
 
@@ -353,7 +353,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     if not toxic or not clean:
         share = (toxic + 0.05) / (toxic + clean + 0.5)
         return Model(Lexicon(), np.zeros(len(FEATURES)), float(np.log(share / (1 - share))))
-    counted = chosen.mapInArrow(words, "half int, word string, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for c in ("toxic", "clean") for h in (0, 1)))
+    counted = chosen.transform(mapped, words, "half int, word string, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for c in ("toxic", "clean") for h in (0, 1)))
     counted = cut(counted)
     both_t, both_c = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
     # Log odds above 1.5 in all or in one half: few words of any corpus; at most so many in order of their strength.
@@ -375,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
                 found |= {w for w in b.column(0).to_pylist() if (t := lexicon.find(w)) is not None and t[1]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
-    ordinary = frozenset(r.word for r in usual.select("word").mapInArrow(near, "word string").collect())
+    ordinary = frozenset(r.word for r in usual.select("word").transform(mapped, near, "word string").collect())
     first, final = (Lexicon(x.terms, x.weights, ordinary, stems=x.stems, under=x.under) for x in (first, final))
     shown = docs.sparkSession.sparkContext.broadcast((first, final))
 
@@ -393,7 +393,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
         rows_ = list(counts.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows_], pa.int32()), pa.array([t for (_, t), _ in rows_], pa.int32()), pa.array([c[1] for _, c in rows_], pa.int64()), pa.array([c[0] for _, c in rows_], pa.int64())], ["lexicon", "term", "toxic", "clean"])
 
-    seen = chosen.mapInArrow(missed, "lexicon int, term int, toxic long, clean long").groupBy("lexicon", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = chosen.transform(mapped, missed, "lexicon int, term int, toxic long, clean long").groupBy("lexicon", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seen = {(r.lexicon, r.term): (r.toxic, r.clean) for r in seen.collect()}  # two lexicons' terms at most
     for k, (lexicon, t, c) in enumerate(((first, half_t, half_c), (final, toxic, clean))):
         lexicon.near = [_near_weight(*seen.get((k, i), (0, 0)), t, c, w) for i, w in enumerate(lexicon.weights)]
@@ -404,7 +404,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
             x = [again.value[0].features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
-    unseen = chosen.where("half = 1").select("text", "label").mapInArrow(measure, "x array<double>, label int").toArrow()
+    unseen = chosen.where("half = 1").select("text", "label").transform(mapped, measure, "x array<double>, label int").toArrow()
     x = np.array(unseen["x"].to_pylist(), float).reshape(unseen.num_rows, len(FEATURES))
     weights, base = _logistic(x, (unseen["label"].to_numpy() > 0).astype(float)) if first.terms else (_PRIOR, float(np.log(toxic / clean)) - 1.0)
     return Model(final, np.round(weights, 9), round(base, 9))
@@ -426,4 +426,4 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, modulu
             s = m.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double, predicted int")
+    return chosen.transform(mapped, run, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double, predicted int")

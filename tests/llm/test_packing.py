@@ -72,3 +72,12 @@ def test_ids_match_the_tokenizer_on_documents(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_match_the_tokenizer_on_odd_strings():
+    rng = random.Random(3)
+    encode, t = packing.Encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [" ", "  ", "\n", "\t", "'s", "é", "—", "ß", "1", "22", "abc", "A", "…", "'", " \n", "漢", "я", "\r\n", " ", " ", "ꬰ", "𞤀", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(5000)] + ["x" * 100_000, " " * 300_000 + "a"]
+    texts += [f"a{c}b 1{c}2 {c}{c} x{c}\n{c}" for c in map(chr, range(0x250, 0x3100, 7))]
+    assert all(np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
