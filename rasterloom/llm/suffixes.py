@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MOST_FILTER_BITS, bloom, cut, forget, mapped, passes, remove, shared_dir
+from .words import word_hashes
 
 LENGTH, KEY, BATCHES = 400, 200, 4
 #: Of passages by words: over 50 words are 51 or more.
@@ -63,11 +64,14 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 _SPACED = re.compile(rb"\S+")
 
 
-def _units(data: bytes | None, words: bool) -> bytes | np.ndarray | None:
-    """A text as it is, or its words' hashes."""
-    if not words or data is None:
-        return data
-    return _mix(np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in data.split()), np.uint64))
+def _units(column: pa.Array, words: bool) -> Iterator[bytes | np.ndarray | None]:
+    """Texts as they are, or their words' hashes."""
+    for at in range(0, len(column), 256):
+        texts = column.slice(at, 256).to_pylist()
+        if words:
+            hashes, starts = word_hashes([x or b"" for x in texts])
+            texts = [hashes[a:b] for a, b in itertools.pairwise(starts.tolist())]
+        yield from texts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,7 +199,7 @@ def entries(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _stretches((_units(x.as_py(), words) for x in b.column(0)), length, key):
+            for s in _stretches(_units(b.column(0), words), length, key):
                 order = np.lexsort((s.whole, s.key))
                 k, w = s.key[order], s.whole[order]
                 fresh = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
@@ -299,7 +303,7 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
             id1 = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in texts), np.uint64, len(texts)).view(np.int64)
             id2 = np.fromiter(((zlib.crc32(x) << 31) + len(x) for x in texts), np.int64, len(texts))
             sent: set[tuple[int, int]] = set()
-            for s in _stretches((_units(x, words) for x in texts), length, key):
+            for s in _stretches(_units(b.column(0), words), length, key):
                 full, between = _covering(s, np.flatnonzero(passes(whole_filter, s.whole)))
                 part = []
                 for i in np.flatnonzero(passes(key_filter, s.key)).tolist():

@@ -51,7 +51,18 @@ def test_empty_tables(spark):
 
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "red x green x x blue"), (2, "blue green red"), (3, "red green"), (4, "red y y y y y blue green"), (5, "red blue")], "doc_id long, text string").coalesce(1)
-    terms = {b"red": 0, b"green": 1, b"blue": 2}
-    index = cut(dc.build_index(df, terms))
-    got = {(r.query, r.doc_id, r.first, r.last) for r in dc.search_near(index, terms, {"q": ["red", "green", "blue"], "none": ["red", "pink"]}, 6).collect()}
+    index = cut(dc.build_index(df))
+    got = {(r.query, r.doc_id, r.first, r.last) for r in dc.search_near(index, {"q": ["red", "green", "blue"], "none": ["red", "pink"]}, 6).collect()}
     assert got == {("q", 1, 0, 5), ("q", 2, 0, 2)}
+
+
+def test_one_index_serves_many_test_sets(spark, tmp_path):
+    """Written, read again, and asked twice."""
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "c d x"), (3, None)], "doc_id long, text string")
+    dc.build_index(df).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    found = []
+    for items in ([("p", b"C, D")], [("q", b"x"), ("r", b"d E f")]):
+        (tests,) = dc.rounds(items)
+        found.append(sorted((r.doc_id, r.n_words, [tuple(x) for x in r.spans], r["items"]) for r in dc.search_phrases(index, tests).collect()))
+    assert found == [[(1, 5, [(2, 4)], ["p"]), (2, 3, [(0, 2)], ["p"]), (3, 0, [], [])], [(1, 5, [], []), (2, 3, [(2, 3)], ["q"]), (3, 0, [], [])]]
