@@ -10,17 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped
+from .common import mapped
 from .labelled import held_out
 
-#: At most so many documents are learned from; the model holds at most so many entries of a kind (words, or n-grams
-#: of one length) in a language.
-TRAIN_ROWS, ENTRIES = 20_000, 20_000
+#: At most so many documents are learned from, and all of their words and n-grams.
+TRAIN_ROWS = 20_000
 MODULUS, REST = 3, 1
-LONGEST, CACHED = 4, 100_000
+LONGEST = 4
 #: Words are not independent; this share of the log odds of a text goes into the score.
 SHARE = 0.25
 UNKNOWN = "und"
@@ -38,27 +39,65 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Entries:
+    """Entries of one kind by ascending hashes; their rows follow each other from `first` on."""
+
+    def __init__(self, hashes: np.ndarray, first: int) -> None:
+        self.hashes, self.first = hashes, first
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows, -1 where there is no such entry."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + self.first, -1)
+
+    def get(self, entry: str) -> int | None:
+        row = int(self.find(hashes_of([entry]))[0])
+        return None if row < 0 else row
+
+    def __getitem__(self, entry: str) -> int:
+        row = self.get(entry)
+        if row is None:
+            raise KeyError(entry)
+        return row
+
+
+def hashes_of(entries: list[str]) -> np.ndarray:
+    """As Spark's xxhash64, unsigned."""
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in entries), np.uint64, len(entries))
+
+
 class Model:
-    """rows[n][entry] is the row of `logs`, with a column for each language; n is 0 for words."""
+    """rows[n] has the rows of `logs`, with a column for each language; n is 0 for words. Entries are known by 64 bits."""
 
     def __init__(self, languages: list[str], counts: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int]) -> None:
         """counts: (kind, language, entry, count); totals: of all entries of a kind in a language."""
-        self.languages = languages
         place = {x: i for i, x in enumerate(languages)}
-        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        number = 0
-        for kind, _, entry, _ in counts:
-            if entry not in self.rows[kind]:
-                self.rows[kind][entry] = number
-                number += 1
-        logs = np.full((number, len(languages)), 0.5)
-        for kind, lang, entry, n in counts:
-            logs[self.rows[kind][entry], place[lang]] += n
-        for kind, own in enumerate(self.rows):
-            at = np.fromiter(own.values(), np.int64, len(own))
-            size = np.array([totals.get((kind, x), 0) + 0.5 * (len(own) + 1) for x in languages])
-            logs[at] = np.log(logs[at] / size)
-        self.logs = logs
+        kinds, langs, n = (np.array(x, np.int64) for x in zip(*((k, place[x], c) for k, x, _, c in counts), strict=True)) if counts else [np.empty(0, np.int64)] * 3
+        self._set(languages, kinds, langs, hashes_of([e for _, _, e, _ in counts]), n, totals)
+
+    @classmethod
+    def of(cls, languages: list[str], kinds: np.ndarray, langs: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> Model:
+        totals: dict[tuple[int, str], int] = {}
+        for kind in range(LONGEST + 1):
+            own = np.bincount(langs[kinds == kind], n[kinds == kind], len(languages))
+            totals |= {(kind, x): int(c) for x, c in zip(languages, own, strict=True)}
+        model = cls.__new__(cls)
+        model._set(languages, kinds, langs, hashes, n, totals)
+        return model
+
+    def _set(self, languages: list[str], kinds: np.ndarray, langs: np.ndarray, hashes: np.ndarray, n: np.ndarray, totals: dict[tuple[int, str], int]) -> None:
+        self.languages, self.rows, logs, first = languages, [], [], 0
+        for kind in range(LONGEST + 1):
+            own = kinds == kind
+            known, at = np.unique(hashes[own], return_inverse=True)
+            counts = np.full((len(known), len(languages)), 0.5)
+            np.add.at(counts, (at, langs[own]), n[own])
+            logs.append(np.log(counts / np.array([totals.get((kind, x), 0) + 0.5 * (len(known) + 1) for x in languages])))
+            self.rows.append(Entries(known, first))
+            first += len(known)
+        self.logs = np.concatenate(logs).astype(np.float32)
 
     def word(self, word: str) -> tuple[list[int], float]:
         """Rows of `logs` for a word, and what each of them weighs; no rows where not even a character is known."""
@@ -66,12 +105,30 @@ class Model:
         if at is not None:
             return [at], 1.0
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            own = self.rows[n]
-            found = [own[g] for g in grams(word, n) if g in own]
+            found = [x for g in grams(word, n) if (x := self.rows[n].get(g)) is not None]
             if found:
                 return found, n / LONGEST / len(found)
         return [], 0.0
 
+    def total(self, counts: dict[str, int]) -> np.ndarray:
+        """Sums of the log frequencies of these words, as `word` has them, all at once."""
+        words, times = list(counts), np.fromiter(counts.values(), float, len(counts))
+        at = self.rows[0].find(hashes_of(words))
+        known = at >= 0
+        total = times[known] @ self.logs[at[known]]
+        open_ = np.flatnonzero(~known)
+        for n in range(LONGEST, 0, -1):
+            if not len(open_):
+                break
+            own = [grams(words[i], n) for i in open_.tolist()]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            at = self.rows[n].find(hashes_of([g for x in own for g in x]))
+            owner = np.repeat(np.arange(len(own)), sizes)[at >= 0]
+            at, found = at[at >= 0], np.bincount(owner, minlength=len(own))
+            total = total + (times[open_[owner]] * (n / LONGEST) / found[owner]) @ self.logs[at]
+            open_ = open_[found == 0]
+        return total
+
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, modulus: int = MODULUS, rest: int = REST) -> Model:
     """Learn from at most `rows` documents that aren't held out and have a language, in the order of a hash of their ids."""
@@ -104,13 +161,10 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                     yield out()
         yield out()
 
-    counted = cut(chosen.transform(mapped, run, "kind int, lang string, entry string, n long").groupBy("kind", "lang", "entry").agg(F.sum("n").alias("n")))
-    totals = {(r.kind, r.lang): r.n for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted({x for _, x in totals})
-    order = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ENTRIES).toArrow()
-    kept = sorted(zip(*(top[c].to_pylist() for c in ("kind", "lang", "entry", "n")), strict=True))
-    return Model(languages, kept, totals)
+    counted = chosen.transform(mapped, run, "kind int, lang string, entry string, n long").groupBy("kind", "lang", F.xxhash64("entry").alias("h")).agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(counted["lang"].unique().to_pylist()))
+    langs = pc.index_in(counted["lang"], pa.array(languages, pa.string())).to_numpy()
+    return Model.of(languages, counted["kind"].to_numpy(), langs, counted["h"].to_numpy().view(np.uint64), counted["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", modulus: int = MODULUS, rest: int = REST) -> DataFrame:
@@ -125,8 +179,6 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        known = m.rows[0]
-        cached: dict[str, tuple[list[int], float]] = {}
         for b in batches:
             names, scores = [], []
             for t in b.column(1):
@@ -135,24 +187,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                at: list[int] = []
-                weight: list[float] = []
-                for w, k in counts.items():
-                    i = known.get(w)
-                    if i is not None:
-                        at.append(i)
-                        weight.append(k)
-                        continue
-                    v = cached.get(w)
-                    if v is None:
-                        v = m.word(w)
-                        if len(w) <= 40:
-                            if len(cached) >= CACHED:
-                                cached.clear()
-                            cached[w] = v
-                    at += v[0]
-                    weight += [k * v[1]] * len(v[0])
-                total = np.array(weight) @ m.logs[at] if at else np.zeros(len(m.languages))
+                total = m.total(counts)
                 odds = np.exp(np.maximum(SHARE * (total - total.max()), -700))
                 best = int(np.argmax(odds))
                 names.append(m.languages[best])

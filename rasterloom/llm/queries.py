@@ -39,7 +39,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -432,7 +432,7 @@ def _together(docs: DataFrame, text: str, **options) -> DataFrame:
     """As `repeats`, also with what repeated strings of WORDS words cover."""
     by_bytes = cut(repeats(docs, text=text, **options))
     forget(docs.sparkSession)
-    by_words = cut(repeats(docs, text=text, **options | {"length": WORDS, "key": WORDS_KEY, "words": True}))
+    by_words = cut(_passages(docs, text, **options))
     forget(docs.sparkSession)
     data = F.col(f"`{text}`").cast("string")
     rows = docs.select(data.cast("binary").alias("data"), *(c.alias(n) for c, n in zip(identity(data), ("id1", "id2"), strict=True)))
@@ -469,25 +469,37 @@ def _kept(data: bytes, spans: bytes | None) -> tuple[bytes, int]:
     return b"".join(out), len(pairs)
 
 
-def _with_spans(docs: DataFrame, text: str, carried: list[Column], by_words: bool = False, **options) -> DataFrame:
-    """The carried columns, then text as data, and spans; one row for each row of docs."""
-    found = (_together if by_words else repeats)(docs, text=text, **options).select(F.col("id1").alias("__id1"), F.col("id2").alias("__id2"), F.col("spans").alias("__spans"))
+def _passages(docs: DataFrame, text: str, **options) -> DataFrame:
+    """`repeats` by strings of WORDS words."""
+    return repeats(docs, text=text, **options | {"length": WORDS, "key": WORDS_KEY, "words": True})
+
+
+def _with_spans(docs: DataFrame, text: str, carried: list[Column], by_words: bool = False, passages: bool = False, **options) -> DataFrame:
+    """The carried columns, then text as data, and spans; one row for each row of docs. passages: after them also spans of words."""
+    found = (_together if by_words else repeats)(docs, text=text, **options)
+    if passages:
+        found = cut(found)
+        forget(docs.sparkSession)
+        found = found.join(_passages(docs, text, **options).withColumnRenamed("spans", "passages"), ["id1", "id2"], "full")
+    found = found.select(F.col("id1").alias("__id1"), F.col("id2").alias("__id2"), F.col("spans").alias("__spans"), *[F.col("passages").alias("__passages")] * passages)
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     id1, id2 = identity(data)
     rows = docs.select(*carried, data.cast("binary").alias("__data"), id1.alias("__k1"), id2.alias("__k2"))
     return rows.join(found, (F.col("__k1") == F.col("__id1")) & (F.col("__k2") == F.col("__id2")), "left").drop("__k1", "__k2", "__id1", "__id2")
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", texts: bool = False, length: int = LENGTH, key: int = KEY, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row for each row of docs.
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", texts: bool = False, passages: bool = False, length: int = LENGTH, key: int = KEY, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, n_passage_words]), a row for each row of docs.
 
     Each byte is removed that some string of `length` bytes covers which also starts elsewhere, in the same
     text or another; texts are judged as they come in. A null text is empty; texts under `length` bytes
     are left alone; equal texts of `length` bytes or more go altogether. Null and repeated ids are
     rows like others; an empty table gives no rows. Further columns are not read.
+    passages: n_passage_words counts the words (parted by blanks) in passages of WORDS words or more that start elsewhere
+    too; many of them have fewer than `length` bytes. They are told, not removed; `clean_texts` can remove them.
     """
     kind = dict(docs.dtypes)[doc_id]
-    rows = _with_spans(docs, text, [F.col(f"`{doc_id}`").alias("doc_id")], length=length, key=key, batches=batches)
+    rows = _with_spans(docs, text, [F.col(f"`{doc_id}`").alias("doc_id")], passages=passages, length=length, key=key, batches=batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -506,9 +518,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             if texts:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("kept")
+            if passages:
+                pairs = (np.frombuffer(x.as_py() or b"", "<i8").reshape(-1, 2) for x in b.column(3))
+                columns.append(pa.array([int((p[:, 1] - p[:, 0]).sum()) for p in pairs], pa.int64()))
+                names.append("n_passage_words")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.transform(mapped, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    return rows.transform(mapped, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "") + (", n_passage_words long" if passages else ""))
 
 
 def clean_texts(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, by_words: bool = False) -> DataFrame:

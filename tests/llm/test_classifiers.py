@@ -155,3 +155,40 @@ def test_quotations_are_counted_from_the_start_of_the_line():
     long = "plain talk " * 60
     assert told(f'"{long} skrumling {long}"') and told('"skrumling"') and not told(f'"\n{long} skrumling')
     assert not told(f'"{long}" skrumling') and not told("it's a skrumling")
+
+
+def test_languages_by_brute_force(spark):
+    """All words and n-grams of the learned documents, counted and scored by the docstrings; over 20,000 words of a language."""
+    rng = random.Random(7)
+    docs = [(i, speak(rng, "abcdefghijklm" if i % 2 else "ghijklmnopqrst", 400), "ab"[i % 2]) for i in range(110)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    counts, totals = {}, {}
+    for i, t, x in docs:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in language.words_of(t):
+                for kind in range(language.LONGEST + 1):
+                    for e in language.grams(w, kind) if kind else [w]:
+                        counts[kind, e, x] = counts.get((kind, e, x), 0) + 1
+                        totals[kind, x] = totals.get((kind, x), 0) + 1
+    sizes = [len({e for k, e, _ in counts if k == kind}) for kind in range(language.LONGEST + 1)]
+    known = {(k, e) for k, e, _ in counts}
+    assert max(len({e for k, e, x in counts if k == 0 and x == y}) for y in "ab") > 10_000
+
+    def log(kind, e, x):
+        return np.log((counts.get((kind, e, x), 0) + 0.5) / (totals[kind, x] + 0.5 * (sizes[kind] + 1)))
+
+    def judge(text):
+        total = {"a": 0.0, "b": 0.0}
+        for w in language.words_of(text):
+            for kind in [0, *range(language.LONGEST, 0, -1)]:
+                found = [e for e in (language.grams(w, kind) if kind else [w]) if (kind, e) in known]
+                if found:
+                    for x in total:
+                        total[x] += sum(log(kind, e, x) for e in found) / len(found) * (kind / language.LONGEST if kind else 1)
+                    break
+        a, b = (np.exp(language.SHARE * (total[x] - max(total.values()))) for x in "ab")
+        return ("a" if a >= b else "b", max(a, b) / (a + b))
+
+    for r in language.identify(df, language.train(df)).collect():
+        want = judge(docs[r.doc_id][1])
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-4

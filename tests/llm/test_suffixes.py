@@ -128,6 +128,8 @@ def test_passages_of_over_fifty_words(spark, monkeypatch, seed, crowded, bits):
     got = {r.doc_id: r.text for r in suffixes.clean_texts(df, by_words=True).collect()}
     assert got[0] is None and {i: (t or "").encode().split() for i, t in got.items()} == left
     assert all(len(p.encode()) < suffixes.LENGTH for p in passages)
+    told = {r.doc_id: (r.n_removed, r.n_passage_words) for r in suffixes.remove_repeats(df, passages=True).collect()}
+    assert told == {i: (0, sum((i, k) in gone for k in range(len(w)))) for i, w in enumerate(words)}
     stage = __import__("corpus_pipeline").suffix_stage(spark, df, "")
     assert {r.doc_id: (r.text or "").encode().split() for r in stage.collect()} == {i: w for i, w in left.items() if w or not texts[i]}
 
