@@ -6,6 +6,7 @@ whether more terms or a second person are near. A logistic model over the sums o
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, mapped
 from .labelled import held_out, sample
 
-#: At most so many labelled rows are learned from, and so many terms are kept.
-TRAIN_ROWS, TERMS = 20_000, 1_000
+#: At most so many labelled rows are learned from; all words of theirs that pass the test below are terms.
+TRAIN_ROWS = 20_000
 MODULUS, REST, THRESHOLD = 4, 2, 0.3
 #: Words of context on each side; word lengths from which one and two edits are allowed; words whose verdict is kept.
 CONTEXT, ONE_EDIT, TWO_EDITS, CACHED = 8, 5, 9, 200_000
@@ -243,12 +244,17 @@ class Model:
 
 
 def _chance(k: int, n: int, rate: float) -> float:
-    """At least k of n by chance."""
-    p = np.log(rate), np.log1p(-rate)
-    logs = [0.0]
-    for i in range(1, n + 1):
-        logs.append(logs[-1] + np.log(i))
-    return float(sum(np.exp(logs[n] - logs[i] - logs[n - i] + i * p[0] + (n - i) * p[1]) for i in range(k, n + 1)))
+    """At least k of n by chance; 1 where that is no surprise at all."""
+    if k <= n * rate:
+        return 1.0
+    at = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    total, term, odds = 0.0, 1.0, rate / (1 - rate)
+    for i in range(k, n + 1):  # beyond the mean each term is less than the one before
+        total += term
+        term *= (n - i) / (i + 1) * odds
+        if term < 1e-12 * total:
+            break
+    return math.exp(min(0.0, at + math.log(total)))
 
 
 def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
@@ -258,7 +264,7 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexi
     rate, found = toxic / (toxic + clean), []
     for w, t, c in counts:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-        if odds > 1.5 and _chance(t, min(t + c, 2000), rate) < CHANCE:
+        if odds > 1.5 and _chance(t, t + c, rate) < CHANCE:
             found.append((-odds * np.log1p(t), -len(w), w, float(odds), t))
     found.sort()
     widest: dict[str, int] = {}  # of each beginning: the documents of the most frequent word with it
@@ -273,9 +279,9 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexi
         if w[-1:] == "*" and t >= STEM_GAIN * max(2, widest.get(own, 0)) and not any(x.startswith(own) or own.startswith(x) for x in stems):
             stems[own] = odds
     words = [(w, o) for _, _, w, o, _ in found if w[-1:] != "*" and not any(w[:n] in stems for n in STEM_SIZES)]
-    kept = [*words[: TERMS - min(len(stems), TERMS // 2)], *list(stems.items())[: TERMS // 2]]
+    kept = [*words, *stems.items()]
     terms = [w for w, _ in kept]
-    numbers = {w: i for i, w in enumerate(terms) if i >= len(terms) - min(len(stems), TERMS // 2)}
+    numbers = {w: len(words) + i for i, w in enumerate(stems)}
     under = {w: numbers[w[:n]] for w, _, _ in counts if w[-1:] != "*" for n in STEM_SIZES if w[:n] in numbers}
     return Lexicon(terms, [o for _, o in kept], stems=len(numbers), under=under)
 
@@ -356,16 +362,16 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     counted = chosen.transform(mapped, words, "half int, word string, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for c in ("toxic", "clean") for h in (0, 1)))
     counted = cut(counted)
     both_t, both_c = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
-    # Log odds above 1.5 in all or in one half: few words of any corpus; at most so many in order of their strength.
+    # Log odds above 1.5 in all or in one half: few words of any corpus.
     def strong(t, c, n_t: int, n_c: int):
         return (t >= 3) & ((t + 0.5) * (n_c + 1) > 4.48 * (c + 0.5) * (n_t + 1))
 
     half_t, half_c = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
-    likely = counted.where(strong(both_t, both_c, toxic, clean) | strong(F.col("toxic0"), F.col("clean0"), half_t, half_c)).orderBy(F.desc(both_t), "word").limit(20 * TERMS).collect()
+    likely = counted.where(strong(both_t, both_c, toxic, clean) | strong(F.col("toxic0"), F.col("clean0"), half_t, half_c)).collect()
     first = _lexicon([(r.word, r.toxic0, r.clean0) for r in likely], half_t, half_c)
     final = _lexicon([(r.word, r.toxic0 + r.toxic1, r.clean0 + r.clean1) for r in likely], toxic, clean)
     # Ordinary words near a term: those that clean documents have more often than their share
-    usual = counted.where(~F.endswith("word", F.lit("*")) & (both_c >= 3) & (both_c * toxic >= both_t * clean)).orderBy(F.desc(both_c), "word").limit(100_000)
+    usual = counted.where(~F.endswith("word", F.lit("*")) & (both_c >= 3) & (both_c * toxic >= both_t * clean))
     sent = docs.sparkSession.sparkContext.broadcast((first, final))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

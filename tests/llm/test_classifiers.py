@@ -192,3 +192,76 @@ def test_languages_by_brute_force(spark):
     for r in language.identify(df, language.train(df)).collect():
         want = judge(docs[r.doc_id][1])
         assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-4
+
+
+def test_chance_against_the_sum():
+    from math import comb
+
+    for n, rate in ((1, 0.3), (7, 0.05), (40, 0.5), (300, 0.1)):
+        for k in range(0, n + 1, max(1, n // 10)):
+            exact = sum(comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k, n + 1))
+            got = toxicity._chance(k, n, rate)
+            assert got == 1.0 if k <= n * rate else abs(got - exact) <= 1e-9 * exact
+    assert toxicity._chance(2500, 9000, 0.27) > 1e-3 and toxicity._chance(6000, 7000, 0.1) < 1e-300
+
+
+def test_no_bound_on_terms_or_their_documents():
+    """Over 1000 terms, a term of over 2000 documents, and a word of as many that is no term."""
+    counts = [(f"term{i:04d}x", 40, 0) for i in range(1500)] + [("often", 5000, 100), ("usual", 3000, 9000)]
+    lexicon = toxicity._lexicon(counts, 10_000, 30_000)
+    assert set(lexicon.terms) == {w for w, _, _ in counts} - {"usual"}
+    assert lexicon.find("term1499x") == (lexicon.terms.index("term1499x"), 0) and lexicon.find("usual") is None
+
+
+def plain_features(lexicon, text):
+    """The features of a text, hit by hit, from the docstrings."""
+    low, words = (text or "").lower(), toxicity.words_of(text)
+    places, at = [], 0
+    for w in words:
+        at = low.index(w, at)
+        places.append(at)
+        at += len(w)
+    hits = [(i, *f) for i, w in enumerate(words) if (f := lexicon.find(w))]
+    direct = misspelled = quoted = crowded = person = strongest = 0.0
+    for n, (i, term, edits) in enumerate(hits):
+        line = low[low.rfind("\n", 0, places[i]) + 1 : places[i]]
+        marks = sum(c in "\"“”„«»‘’'`" and not (c in "'’`" and k and line[k - 1].isalnum()) for k, c in enumerate(line))
+        weight = lexicon.near[term] if edits and lexicon.near else lexicon.weights[term]
+        around = set(words[max(0, i - toxicity.CONTEXT) : i + toxicity.CONTEXT + 1])
+        if marks % 2 or around & toxicity._REPORT:
+            quoted += weight
+            continue
+        direct, misspelled = (direct, misspelled + weight / edits) if edits else (direct + weight, misspelled)
+        crowded += weight * any(k != n and abs(j - i) <= toxicity.CONTEXT for k, (j, _, _) in enumerate(hits))
+        person += weight * bool(around & toxicity._PERSON)
+        strongest = max(strongest, weight / (1 + edits))
+    every = direct + misspelled
+    return [np.log1p(every), 10 * every / (len(words) + 20) if hits else 0.0, *map(np.log1p, (direct, misspelled, quoted, crowded, person)), strongest / 5]
+
+
+def test_toxicity_by_brute_force(spark, tables):
+    docs, labels = tables
+    model = toxicity.train(docs, labels)
+    rng = random.Random(11)
+    parts = ["dimwit", "dimwut", "numbskull", "numskul", "wretched", "blockhed", "you", "said", '"', "'", "it's", "\n", ".", "plain", "words", "“", "”"]
+    texts = [None, "", *(" ".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        x = np.array(plain_features(model.lexicon, texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + np.exp(-(x @ model.weights + model.base)))) < 1e-9
+
+
+def plain_quality(model, text):
+    """A text's score: the base, a table entry for each feature and for each pair of them."""
+    x, total = quality.features((text or "").encode()), model.base
+    at = [sum(e <= v for e in edges.tolist()) for v, edges in zip(x, model.edges, strict=True)]
+    total += sum(t[i] for t, i in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_quality_by_brute_force(spark, tables):
+    docs, labels = tables
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").collect()}
+    for r in quality.score(docs.where("doc_id IS NOT NULL"), model).collect():
+        assert abs(r.score - plain_quality(model, texts[r.doc_id])) < 1e-9
