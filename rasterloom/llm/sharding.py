@@ -56,10 +56,12 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots
     hold a third of all rows. An empty df gives an empty result.
     """
     own = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
-    spark = df.sparkSession
-    rows = spark.createDataFrame(list(enumerate(shards[i] for i in lookup_table(shards, slots))), "__slot int, __shard string")
-    keyed = df.select(*[F.col(f"`{c}`") for c in own], slot_of(F.col(f"`{key}`"), slots).cast("int").alias("__at"))
-    return keyed.join(F.broadcast(rows), keyed["__at"] == rows["__slot"]).select(*[F.col(f"`{c}`") for c in own], F.col("__at").alias(slot), F.col("__shard").alias(shard))
+    rows = df.sparkSession.createDataFrame(list(enumerate(shards[i] for i in lookup_table(shards, slots))), "at int, shard string")
+    # All columns of df go through the join in one struct, so that no name of theirs can clash.
+    kept = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.lit(0)
+    keyed = df.select(kept.alias("row"), slot_of(F.col(f"`{key}`"), slots).cast("int").alias("at"))
+    placed = keyed.join(F.broadcast(rows), "at")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("at").alias(slot), F.col("shard").alias(shard))
 
 
 def oracle_sql(shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> str:

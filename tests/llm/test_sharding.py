@@ -41,3 +41,9 @@ def test_nulls_repeats_and_clashes(spark):
     assert out.columns == ["doc_id", "slot", "shard"] and len(rows) == 3
     assert len({(r.slot, r.shard) for r in rows if r.doc_id == 5}) == 1 and all(r.shard for r in rows)
     assert sharding.assign_shards(df.limit(0), "doc_id").count() == 0
+
+
+def test_names_of_its_own_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", 4)], "doc_id long, __slot string, __shard string, row string, at int")
+    (got,) = sharding.assign_shards(df, "doc_id").collect()
+    assert got[:5] == (1, "a", "b", "c", 4) and got.shard == sharding.SHARDS[sharding.lookup_table()[got.slot]]
