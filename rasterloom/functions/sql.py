@@ -1,4 +1,4 @@
-"""The codec for SQL: register(spark) adds the functions jls_encode and jls_decode and the table function jls_segments."""
+"""The codec for SQL: register(spark) adds the functions jls_encode, jls_decode and jls_frame and the table function jls_segments."""
 
 from __future__ import annotations
 
@@ -42,7 +42,26 @@ def _decode(content: pd.Series) -> pd.Series:
     return pd.Series([None if isinstance(g, StreamError) else g[1] for g in got], dtype=object)
 
 
+#: What jls_frame tells, from the header alone.
+FRAME = "width int, height int, bits_per_sample int, component_count int, restart_interval int, colour_transform int, error_code int"
+
+
+def _frame(content: pd.Series) -> pd.DataFrame:
+    """A file's frame; where its header can't be read, only the error. A null file has neither."""
+    rows = []
+    for c in content:
+        r = container.Reader(bytes(c) if c is not None else b"")
+        try:
+            if c is not None:
+                r.header()
+            rows.append((r.width, r.height, r.bits, r.count, r.interval, r.transform, None) if c is not None else (None,) * 7)
+        except StreamError as e:
+            rows.append((None,) * 6 + (int(e.code),))
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in FRAME.split(", ")], dtype=object)
+
+
 def register(spark: SparkSession) -> None:
     spark.udf.register("jls_encode", F.pandas_udf(_encode, "binary"))
     spark.udf.register("jls_decode", F.pandas_udf(_decode, "binary"))
+    spark.udf.register("jls_frame", F.pandas_udf(_frame, FRAME))
     spark.udtf.register("jls_segments", F.udtf(Segments, returnType="seq int, offset int, marker int, data_size int, payload binary, error_code int"))

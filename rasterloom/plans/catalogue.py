@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,13 +268,14 @@ def run_islands(spark, sf_dir):
     return samples.run_islands(views.strip(spark, sf_dir), ["user_id"], "event_id", "v").select("user_id", "run", "v", "first", "n")
 
 
-@_query(f"SELECT vec_id, list_slice(v, 1, 16) AS a, list_slice(v, 49, 64) AS d FROM ({views.emb_sql(127.5, 255)})")
+@_query(f"SELECT vec_id, list_slice(v, 1, 16) AS a, list_slice(v, 17, 32) AS b, list_slice(v, 33, 48) AS c, list_slice(v, 49, 64) AS d FROM ({views.emb_sql(127.5, 255)})")
 def planar_to_pixel(spark, sf_dir):
     """Each vector as four planes of 16; gathered to pixels of four and split again."""
     rows = samples.explode_samples(views.emb8(spark, sf_dir), ["vec_id"], F.col("v"))
     planes = rows.select("vec_id", (F.col("x") % 16).alias("p"), s._div(F.col("x"), 16).alias("component"), "v")
     pixels = samples.to_pixels(planes, ["vec_id", "p"]).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("l"))
-    return pixels.select("vec_id", F.transform("l", lambda q: q["v"][0]).alias("a"), F.transform("l", lambda q: q["v"][3]).alias("d"))
+    plane = lambda i: F.transform("l", lambda q: q["v"][i])
+    return pixels.select("vec_id", *(plane(i).alias(c) for i, c in enumerate("abcd")))
 
 
 @_query(f"SELECT k, n, c AS component, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM ({RGB}), (VALUES (0), (1), (2)) t(c)")
@@ -313,7 +315,7 @@ def _hex(v, width: int):
 
 def _vectors(spark, sf_dir, bits: int) -> DataFrame:
     rows = views.emb8(spark, sf_dir) if bits == 8 else views.emb12(spark, sf_dir)
-    return rows.repartition(8, "vec_id").select("vec_id", "v", _hex(F.col("v"), 1 if bits == 8 else 2).alias("data"))
+    return rows.repartition("vec_id").select("vec_id", "v", _hex(F.col("v"), 1 if bits == 8 else 2).alias("data"))
 
 
 def _sum_sql(scale: float, most: int) -> str:
@@ -321,10 +323,12 @@ def _sum_sql(scale: float, most: int) -> str:
 
 
 def _checked(df: DataFrame, width: int, height: int, bits: int, n: int, o: Options) -> DataFrame:
-    """Coded and decoded: whether the bytes are the same, and their samples' sum."""
+    """Coded and decoded: whether the bytes are the same, and the decoded samples' sum."""
+    kind = "u1" if bits <= 8 else "<u2"
+    total = F.pandas_udf(lambda d: d.map(lambda x: int(np.frombuffer(x, kind).sum(dtype=np.int64))), "bigint")
     code = jls.encode(F.col("data"), F.lit(width), F.lit(height), F.lit(bits), F.lit(n), o)
-    back = df.select("vec_id", "v", "data", jls.decode(code, "failfast")["data"].alias("back"))
-    return back.select("vec_id", (F.col("back") == F.col("data")).alias("same"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    back = df.select("vec_id", "data", jls.decode(code, "failfast")["data"].alias("back"))
+    return back.select("vec_id", (F.col("back") == F.col("data")).alias("same"), total("back").alias("total"))
 
 
 @_query(_sum_sql(2047.5, 4095))
@@ -342,10 +346,10 @@ def roundtrip_rgb_sample(spark, sf_dir):
     return _checked(_vectors(spark, sf_dir, 8), 8, 4, 8, 2, Options(mode=2))
 
 
-@_query(f"SELECT vec_id, TRUE AS same, CAST(list_sum(list_slice(v, 1, 48)) AS BIGINT) AS total FROM ({views.emb_sql(127.5, 255)})")
+@_query(_sum_sql(127.5, 255))
 def roundtrip_hp(spark, sf_dir):
-    rows = _vectors(spark, sf_dir, 8).select("vec_id", F.slice("v", 1, 48).alias("v"), F.concat("data", F.unhex(F.lit("0000"))).alias("data"))
-    # all 64 samples and two more, so that three components divide them; the sum is of those that the SQL has
+    # all 64 samples and two zeros more, so that three components divide them
+    rows = _vectors(spark, sf_dir, 8).select("vec_id", F.concat("data", F.unhex(F.lit("0000"))).alias("data"))
     parts = [_checked(rows, 11, 2, 8, 3, Options(mode=2 - k % 2, transform=k)) for k in (1, 2, 3)]
     every = parts[0].union(parts[1]).union(parts[2])
     return every.groupBy("vec_id").agg(F.min("same").alias("same"), F.max("total").alias("total"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rasterloom.plans import catalogue
+from rasterloom.plans import catalogue, files
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,12 +18,15 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+QUERIES, ORACLES = catalogue.queries() | files.queries(), catalogue.oracle_sql() | files.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
-    found = con.execute(catalogue.oracle_sql()[name])
+    found = con.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(map(repr, (tuple(r[names.index(c)] for c in columns) for r in found.fetchall())))
