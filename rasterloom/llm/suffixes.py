@@ -40,9 +40,9 @@ LENGTH, KEY, BATCHES = 400, 200, 4
 #: Of passages by words: over 50 words are 51 or more.
 WORDS, WORDS_KEY = 51, 20
 #: Bytes that are hashed at a time; a longer text is read in stretches that overlap by length - 1.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Entries of one key that are compared in one task; the strings of what has more are dealt out by their hashes.
-CROWDED = 4096
+CROWDED = 1 << 14
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _VALUE = _rng.integers(0, 2**64, 256, np.uint64)
