@@ -39,6 +39,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers that name the tables in a folder of the shared store whose writing was finished."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return [int(n) for n in found if n.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver collects."""
     gc.collect()

@@ -22,10 +22,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_FILTER_BITS, bloom, cut, forget, mapped, passes, remove, shared_dir
+from .common import MOST_FILTER_BITS, bloom, complete, cut, forget, mapped, passes, remove, shared_dir
 from .words import word_hashes
 
 LENGTH, KEY, BATCHES = 400, 200, 4
@@ -209,18 +211,51 @@ def entries(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: i
     return _bytes_of(docs, text).transform(mapped, run, "key long, whole long, n int")
 
 
+@dataclass(frozen=True)
+class Lasting:
+    """A folder in which a family's levels stay, for batches that later runs add.
+
+    new: the rows to add, all rows of docs if None. batch: their name; a batch of a name that the levels
+    have already is not added again, so a run that broke off can be repeated. docs must hold every text that was
+    ever added, as the bytes around partial matches are read from it.
+    """
+
+    folder: str
+    batch: str
+    new: DataFrame | None = None
+
+
 class SuffixFamily:
-    """Levels of sparse suffix arrays, each a table in the shared folder; level i has about 2**i batches' entries."""
+    """Levels of sparse suffix arrays, each a table in the shared folder; level i has about 2**i batches' entries.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.levels, self.found = spark, {}, []
-        self.at = f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
-        self.written = 0
+    With a folder of its own the family goes on from what was added there before. Its state is written anew after
+    each batch, and the tables that it no longer names are deleted only then, so a broken run leaves the last state.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, options: tuple = ()) -> None:
+        self.spark, self.levels, self.found, self.names = spark, {}, [], []
+        self.at = folder or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+        self.written, self.states, self.lasts = 0, 0, folder is not None
+        self.options = list(options)
+        done = complete(spark, f"{self.at}/state") if self.lasts else []
+        if done:
+            self.states = max(done)
+            state = json.loads(spark.read.schema("state string").parquet(f"{self.at}/state/{self.states}").first()[0])
+            if state["options"] != self.options:
+                raise ValueError(f"the levels in {folder} are of {state['options']}, not of {self.options}")
+            self.levels = {int(level): path for level, path in state["levels"].items()}
+            self.found, self.names, self.written = state["found"], state["names"], state["written"]
+
+    def _save(self) -> None:
+        state = {"options": self.options, "levels": self.levels, "found": self.found, "names": self.names, "written": self.written}
+        self.states += 1
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{self.at}/state/{self.states}")
+        remove(self.spark, f"{self.at}/state/{self.states - 1}")
 
     def _write(self, array: DataFrame) -> str:
         self.written += 1
         path = f"{self.at}/{self.written}"
-        array.write.parquet(path)
+        array.write.mode("overwrite").parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:
@@ -234,8 +269,11 @@ class SuffixFamily:
             every = every.unionByName(a)
         return every.groupBy("key", "whole").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
 
-    def add(self, batch: DataFrame) -> None:
-        """Add (key, whole, n) rows: merge-scan them against all levels for matches, then merge levels of equal size."""
+    def add(self, batch: DataFrame, name: str | None = None) -> None:
+        """Add (key, whole, n) rows: merge-scan them against all levels for matches, then merge levels of equal size.
+        A name that was added before adds nothing."""
+        if name is not None and name in self.names:
+            return
         own = self._write(self._merged([batch]).sortWithinPartitions("key", "whole"))
         new = self._read(own)
         scanned = new.withColumn("new", F.lit(True))
@@ -245,21 +283,22 @@ class SuffixFamily:
         # of a key: occurrences, entries that stand alone, and whether the batch has it
         keys = runs.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone"), F.max("new").alias("new"))
         matched = keys.where("new AND n > 1").select("key", (F.col("alone") > 0).alias("partly"))
-        self.found.append(self._write_found(matched))
-        level = 0
+        self.found.append(self._write(matched))
+        self.names += [name] * (name is not None)
+        level, dead = 0, []
         while level in self.levels:
             older = self.levels.pop(level)
             merged = self._write(self._merged([self._read(older), self._read(own)]).sortWithinPartitions("key", "whole"))
-            remove(self.spark, older)
-            remove(self.spark, own)
+            dead += [older, own]
             own, level = merged, level + 1
+            if not self.lasts:
+                while dead:
+                    remove(self.spark, dead.pop())
         self.levels[level] = own
-
-    def _write_found(self, matched: DataFrame) -> str:
-        self.written += 1
-        path = f"{self.at}/{self.written}"
-        matched.write.parquet(path)
-        return path
+        if self.lasts:
+            self._save()
+        for path in dead:
+            remove(self.spark, path)
 
     def matches(self) -> tuple[DataFrame, DataFrame]:
         """(key, whole) of entries that occur twice or more, and (key) of those where others stand alone beside others."""
@@ -279,20 +318,25 @@ def identity(data: Column) -> list[Column]:
     return [F.xxhash64(data), F.shiftleft(F.crc32(data), 31) + F.octet_length(data)]
 
 
-def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, words: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, words: bool = False, lasting: Lasting | None = None) -> DataFrame:
     """(id1, id2, spans): for each text with repeated strings of `length` bytes, what they cover.
 
     spans: binary, little-endian 64-bit [first, end) pairs, disjoint and ascending; in words, if `length` and `key` are.
     """
     spark = docs.sparkSession
-    family = SuffixFamily(spark)
-    data = docs.select(F.col(f"`{text}`").cast("string").alias("__text")).where(F.octet_length("__text") >= (2 * length - 1 if words else length))
-    for i in range(batches):
-        part = data.where(F.pmod(F.xxhash64("__text"), F.lit(batches)) == i) if batches > 1 else data
-        family.add(entries(part, text="__text", length=length, key=key, words=words))
-    twice, alone = family.matches()
-    twice, alone = cut(twice), cut(alone)
-    family.close()
+    family = SuffixFamily(spark, f"{lasting.folder}/{'words' if words else 'bytes'}" if lasting else None, (length, key))
+    long_ones = lambda df: df.select(F.col(f"`{text}`").cast("string").alias("__text")).where(F.octet_length("__text") >= (2 * length - 1 if words else length))
+    data = long_ones(docs)
+    new = data if lasting is None or lasting.new is None else long_ones(lasting.new)
+    try:
+        for i in range(batches):
+            part = new.where(F.pmod(F.xxhash64("__text"), F.lit(batches)) == i) if batches > 1 else new
+            family.add(entries(part, text="__text", length=length, key=key, words=words), f"{lasting.batch} {i} of {batches}" if lasting else None)
+        twice, alone = family.matches()
+        twice, alone = cut(twice), cut(alone)
+    finally:
+        if not lasting:
+            family.close()
     n_twice, n_alone = twice.count(), alone.count()
     filters = spark.sparkContext.broadcast((bloom(twice.select(F.col("whole").alias("h")), n_twice, MOST_FILTER_BITS), bloom(alone.select(F.col("key").alias("h")), n_alone, MOST_FILTER_BITS)))
 
@@ -488,7 +532,7 @@ def _with_spans(docs: DataFrame, text: str, carried: list[Column], by_words: boo
     return rows.join(found, (F.col("__k1") == F.col("__id1")) & (F.col("__k2") == F.col("__id2")), "left").drop("__k1", "__k2", "__id1", "__id2")
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", texts: bool = False, passages: bool = False, length: int = LENGTH, key: int = KEY, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", texts: bool = False, passages: bool = False, length: int = LENGTH, key: int = KEY, batches: int = BATCHES, lasting: Lasting | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, n_passage_words]), a row for each row of docs.
 
     Each byte is removed that some string of `length` bytes covers which also starts elsewhere, in the same
@@ -497,9 +541,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     rows like others; an empty table gives no rows. Further columns are not read.
     passages: n_passage_words counts the words (parted by blanks) in passages of WORDS words or more that start elsewhere
     too; many of them have fewer than `length` bytes. They are told, not removed; `clean_texts` can remove them.
+    lasting: keep the levels in its folder, and add only its new rows to those that are there; the result is of all docs.
     """
     kind = dict(docs.dtypes)[doc_id]
-    rows = _with_spans(docs, text, [F.col(f"`{doc_id}`").alias("doc_id")], passages=passages, length=length, key=key, batches=batches)
+    rows = _with_spans(docs, text, [F.col(f"`{doc_id}`").alias("doc_id")], passages=passages, length=length, key=key, batches=batches, lasting=lasting)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -80,6 +80,28 @@ def test_family_levels_are_geometric(spark):
     assert alone.count() == 0
 
 
+def test_family_lasts(spark, tmp_path):
+    """A batch added later, by a family that knows only the folder, gives what one run over all gives."""
+    texts = corpus(6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    options = dict(length=40, key=20, batches=2, passages=True)
+    once = {r.doc_id: tuple(r) for r in suffixes.remove_repeats(df, **options).collect()}
+    for names in (["1", "2", "3"], ["3"]):  # the second time everything is there
+        for k, name in enumerate(names, 4 - len(names)):
+            upto = df.where(f"doc_id % 3 < {k}")
+            new = df.where(f"doc_id % 3 = {k - 1}")
+            got = {r.doc_id: tuple(r) for r in suffixes.remove_repeats(upto, lasting=suffixes.Lasting(str(tmp_path), name, new), **options).collect()}
+            known = [texts[i] if i in got else None for i in range(len(texts))]
+            assert {i: r[1:5] for i, r in got.items()} == {i: w for i, w in enumerate(brute(known, 40)) if i in got}
+        assert got == once
+    state = suffixes.SuffixFamily(spark, f"{tmp_path}/bytes", (40, 20))
+    assert len(state.names) == 6 and sorted(state.levels) == [1, 2]
+    kept = {p.name for p in (tmp_path / "bytes").iterdir()}
+    assert kept == {"state"} | {p.rsplit("/", 1)[1] for p in [*state.levels.values(), *state.found]}
+    with pytest.raises(ValueError):
+        suffixes.SuffixFamily(spark, f"{tmp_path}/bytes", (41, 20))
+
+
 def test_covering_entries_leave_nothing_out():
     rng = random.Random(7)
     text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
