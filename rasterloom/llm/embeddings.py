@@ -21,13 +21,28 @@ from .common import connected_components, cut, mapped
 COSINE = 0.98
 #: Vectors a cell should have; at most so many pivots, so that they may be broadcast; rows of a block.
 PER_CELL, MOST_PIVOTS, BLOCK = 1000, 4096, 2000
-#: What rounding may add to a distance.
-SLACK = 1e-9
+#: What rounding may add to a distance: the root of 2 - 2 cos is off by up to 3e-8 near 0. And to a cosine.
+SLACK, COSINE_SLACK = 1e-7, 1e-12
+#: Vectors that are held against all pivots at once.
+ASSIGNED = 256
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max()
-    return v / np.sqrt(v @ v)
+    """Rows of v, of length 1."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between rows of a and rows of b, all of length 1."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of row i of a and row i of b, as dot product over the product of norms; not finite where these leave the range."""
+    with np.errstate(all="ignore"):
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
 def usable(vectors: DataFrame, embedding: str) -> F.Column:
@@ -43,29 +58,28 @@ def _assign(classes: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        between = np.sqrt(np.maximum(((p[:, None, :] - p[None, :, :]) ** 2).sum(-1), 0)) if len(p) * len(p) * p.shape[1] <= 1 << 26 else None
         for b in batches:
-            raw = b.column(b.schema.get_field_index("e")).to_pylist()
-            cell, home, row = [], [], []
-            for i, v in enumerate(raw):
-                u = _unit(np.array(v, float))
-                if len(u) != p.shape[1]:  # other dimensions never link with these; all of one size meet in one cell
-                    cell.append(-len(u))
-                    home.append(True)
-                    row.append(i)
-                    continue
-                d = np.sqrt(np.maximum(2 - 2 * (p @ u), 0))
-                own = int(np.argmin(d))
-                near = d - d[own] <= 2 * r + SLACK
-                gaps = between[own] if between is not None else np.sqrt(np.maximum(((p - p[own]) ** 2).sum(-1), 0))
-                near &= d**2 - d[own] ** 2 <= 2 * (r + SLACK) * gaps + SLACK
-                near[own] = True
-                found = np.flatnonzero(near).tolist()
-                cell += found
-                home += [c == own for c in found]
-                row += [i] * len(found)
+            e = b.column(b.schema.get_field_index("e"))
+            values, size = e.flatten().to_numpy(zero_copy_only=False).astype(float), e.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(size) - size
+            # other dimensions never link with the pivots' one; all of one size meet in one cell
+            row, cell, home = [np.flatnonzero(size != p.shape[1])], [-size[size != p.shape[1]]], [np.ones((size != p.shape[1]).sum(), bool)]
+            fits = np.flatnonzero(size == p.shape[1])
+            for at in range(0, len(fits), ASSIGNED):
+                some = fits[at : at + ASSIGNED]
+                d = _distances(_unit(values[first[some, None] + np.arange(p.shape[1])]), p)
+                own = d.argmin(axis=1)
+                least = d[np.arange(len(some)), own][:, None]
+                near = d - least <= 2 * r + SLACK
+                near &= d**2 - least**2 <= 2 * (r + SLACK) * (_distances(p[own], p) + SLACK) + SLACK
+                near[np.arange(len(some)), own] = True
+                i, c = np.nonzero(near)
+                row.append(some[i])
+                cell.append(c)
+                home.append(c == own[i])
+            row, cell, home = np.concatenate(row), np.concatenate(cell), np.concatenate(home)
             taken = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], [*b.schema.names, "cell", "home"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32)), pa.array(home)], [*b.schema.names, "cell", "home"])
 
     return classes.transform(mapped, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cell int, home boolean")
 
@@ -77,7 +91,8 @@ def _cell_join(cosine: float):
         empty = pd.DataFrame({"id": np.array([], np.int64), "n": np.array([], np.int64), "root": np.array([], np.int64)})
         if left.empty or right.empty:
             return empty
-        a, b = np.stack([_unit(np.array(v, float)) for v in left.e]), np.stack([_unit(np.array(v, float)) for v in right.e])
+        raw, other = np.stack(left.e.to_numpy()).astype(float), np.stack(right.e.to_numpy()).astype(float)
+        a, b = _unit(raw), _unit(other)
         li, ri, weight = left.id.to_numpy(), right.id.to_numpy(), right.weight.to_numpy()
         ids, places = np.unique(np.concatenate((li, ri)), return_inverse=True)
         lp, rp = places[: len(li)], places[len(li) :]
@@ -91,7 +106,14 @@ def _cell_join(cosine: float):
 
         n = np.zeros(len(li), np.int64)
         for at in range(0, len(li), 512):
-            close = a[at : at + 512] @ b.T >= cosine
+            found = a[at : at + 512] @ b.T
+            close = found >= cosine
+            # so near the bound, the quotient of the vectors as they are decides
+            i, j = np.nonzero(np.abs(found - cosine) <= COSINE_SLACK)
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                exact = _cosines(raw[at + x], other[y])
+                close[x, y] = np.where(np.isfinite(exact), exact >= cosine, close[x, y])
             close &= li[at : at + 512, None] != ri[None, :]
             n[at : at + 512] = close @ weight
             for i in np.flatnonzero(close.any(axis=1)).tolist():
@@ -121,10 +143,11 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         raise ValueError("cosine must be above 0 and at most 1")
     r = float(np.sqrt(2 - 2 * cosine)) + SLACK
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.when(usable(vectors, embedding) & F.col(f"`{label}`").isNotNull(), F.col(f"`{embedding}`")).alias("e"), F.col(f"`{label}`").alias("label"))
+    rows = rows.select("vec_id", "e", "label", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit("second"), "e").alias("h2"))
     single = rows.where("e IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.where("e IS NOT NULL")
     # A class has a number of its own: ids may be null or repeat.
-    classes = cut(rows.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
+    classes = cut(rows.groupBy("label", "e").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
     # Cells are of one label and one pivot, so the largest label sets how many pivots are worth their copies.
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     wanted = int(min(MOST_PIVOTS, max(1, largest // per_cell)))
@@ -133,7 +156,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     if not sizes:
         return _named(single)
     chosen = classes.where(F.size("e") == sizes[0]["size"]).orderBy(F.xxhash64("e"), "id").limit(wanted).select("e").collect()
-    pivots = np.stack([_unit(np.array(x.e, float)) for x in chosen])
+    pivots = _unit(np.array([x.e for x in chosen], float))
     placed = cut(_assign(classes.select("id", "label", "weight", "e"), pivots, r))
     # A cell's homes and members are dealt over blocks; each pair of blocks is a task's group of at most about twice `block` rows.
     held = placed.groupBy("label", "cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("members")).where("homes > 0 AND members > 1")
@@ -145,10 +168,12 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     found = cut(lefts.unionByName(rights).groupBy("label", "cell", "i", "j").applyInPandas(_cell_join(cosine), "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left").select("label", "e", "id", "least", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("root"))
+    # Vectors find their class by two hashes; should two classes of a label share both, by the vectors themselves.
+    same = ["h1", "h2"] if classes.groupBy("label", "h1", "h2").count().where("count > 1").isEmpty() else ["e"]
+    known = classes.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left").select("label", *same, "id", "least", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select(F.col("label").alias("__label"), F.col("e").alias("__e"), (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
-    many = rows.join(known, (F.col("label") == F.col("__label")) & (F.col("e") == F.col("__e"))).select("vec_id", "n_links", "component_id")
+    known = known.join(least, "root").select("label", *same, (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
+    many = rows.select("vec_id", "label", *same).join(known, ["label", *same]).select("vec_id", "n_links", "component_id")
     return _named(many.union(single))
 
 

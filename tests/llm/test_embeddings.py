@@ -64,3 +64,21 @@ def test_empty_and_nothing_usable(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = embeddings.near_duplicates(spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], schema)).collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+@pytest.mark.parametrize("a,b,c", [(3, 4, 5), (5, 12, 13), (7, 24, 25), (20, 21, 29), (9, 40, 41)])
+def test_a_cosine_on_the_bound_is_a_link(spark, a, b, c):
+    rows = [(1, [1.0, 0.0], 0), (2, [float(a), float(b)], 0), (3, [2.0 * b, -2.0 * a], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for k, other in ((a, 2), (b, 3)):
+        got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(df.where(f"vec_id IN (1, {other})"), cosine=k / c).collect()}
+        assert got == {1: 1, other: 1}
+
+
+def test_hashes_that_clash_do_not_join_vectors(spark, monkeypatch):
+    rows = vectors(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    real = embeddings.F.xxhash64
+    monkeypatch.setattr(embeddings.F, "xxhash64", lambda *cols: real(embeddings.F.lit(1)) if any(isinstance(c, str) for c in cols) else real(*cols))
+    got = embeddings.near_duplicates(df).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows, 0.98)
