@@ -98,3 +98,44 @@ def test_rows_without_ids_are_documents_of_their_own(spark, tables):
     extra = spark.createDataFrame([(1, unlike[0], "a", "b")], "doc_id long, text string, fingerprint string, component_id string")
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, extra, at).columns == extra.columns and stage(spark, extra, at).count() == 1 and stage(spark, extra.limit(0), at).count() == 0
+
+
+def test_stages_with_clashing_columns_and_nulls(spark, tables):
+    at, _ = tables
+    rows = [(1, "a text of ten short words that stands here once.", "r", "f", True, "h"), (2, None, None, None, None, None), (2, None, None, None, None, None), (None, "  ", "r", "f", False, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, __hit string, __had boolean, __Had_1 string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, at)
+        assert got.columns == docs.columns, name
+        left = {repr(tuple(r)) for r in got.collect()}
+        assert left <= {repr(r) for r in rows}, name
+        if stage is not corpus_pipeline.quality_stage:
+            assert repr(rows[0]) in left, name
+        assert stage(spark, docs.limit(0), at).count() == 0, name
+    pieces = corpus_pipeline.packing_stage(spark, docs, at).collect()
+    assert sorted((p.doc_id or 0) for p in pieces if p.start == 0) == [0, 1, 2, 2]
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), at).count() == 0
+
+
+def test_run_on_empty_tables(spark, tmp_path, tables):
+    at, _ = tables
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_of_a_failed_run_are_deleted(spark, tables, monkeypatch):
+    from pathlib import Path
+
+    at, _ = tables
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("pipeline-*/*"))
+
+    def fails(spark, docs, sf_dir):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("keep", lambda spark, docs, sf_dir: docs), ("fail", fails)])
+    with pytest.raises(RuntimeError, match="stopped"):
+        corpus_pipeline.run(spark, at)
+    assert set(shared.glob("pipeline-*/*")) == before
