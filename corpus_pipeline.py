@@ -56,7 +56,7 @@ def _free(docs: DataFrame, *names: str) -> list[str]:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id: texts whose five-word shingles have a
-    Jaccard similarity of 0.8 or more. Fingerprints as of op2_simhash would miss most of these; see similar.py.
+    Jaccard similarity of 0.8 or more. SimHash offers pairs, a prefix join those that it misses, and each is verified; see similar.py.
 
     Texts without words, null ones too, are alike and leave one document. Of rows with an equal id the text's hash
     decides; rows without an id stay only if no row of their group has one. Very long texts are compared whole.

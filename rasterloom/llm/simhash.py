@@ -10,6 +10,7 @@ rows a fingerprint and no pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +24,9 @@ from .common import connected_components, cut, mapped
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BLOCKS, CROWDED = 4, 256
+#: Of candidates: blocks, bits within which all pairs meet, the most bits that two which meet may differ in, and the most
+#: values of a key that meet each other.
+NEAR_BLOCKS, NEAR, REACH, MEETING = 6, 4, 12, 4
 
 
 def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> list[int]:
@@ -89,6 +93,29 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return verified.union(near.join(hubs, "hub").where("fp > b").select(F.col("fp").alias("a"), "b"))
 
 
+def candidates(distinct: DataFrame, distance: int = NEAR, blocks: int = NEAR_BLOCKS, reach: int = REACH) -> DataFrame:
+    """(a, b): pairs of the distinct values of column fp that agree on blocks - distance of the blocks, and so all that differ
+    in at most `distance` bits; those over `reach` bits apart are left out. Of keys with over MEETING values a value is
+    paired only with the least one of the most frequent, so that pairs grow with the values and not with their square:
+    they are offered to a verification that doesn't rest on them alone.
+    """
+    if not 0 < distance < blocks or reach < distance:
+        raise ValueError("distance must be at least 1, below the blocks and not above reach")
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [(1 << b) - (1 << a) for a, b in itertools.pairwise(ends)]
+    masks = np.array([sum(c) for c in combinations(bits, blocks - distance)], np.uint64).view(np.int64).tolist()
+    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))).alias("mask"))
+    keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    held = keyed.groupBy("mask", "value").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    keyed = cut(keyed.join(held, ["mask", "value"]))
+    few = keyed.where(F.col("n") <= MEETING)
+    left, right = few.select("mask", "value", F.col("fp").alias("a")), few.select("mask", "value", F.col("fp").alias("b"))
+    pairs = left.join(right, ["mask", "value"]).select("a", "b")
+    many = keyed.where(F.col("n") > MEETING).groupBy("fp").agg(F.max(F.struct("n", "mask", "least")).getField("least").alias("least"))
+    pairs = pairs.union(many.select("least", "fp"))
+    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)).distinct()
+
+
 def components(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of (doc_id, fp): hexadecimal, and the smallest doc_id reachable over links.
 

@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly: a prefix join, then verification of each pair.
+"""Near-duplicates by the Jaccard similarity of word shingles, exactly: SimHash and a prefix join, then verification of each pair.
+
+SimHash fingerprints, those of op2, offer the texts that meet in two of six blocks of their bits. No distance of
+fingerprints is a bound on the similarity, so the join offers what they miss; neither links a pair without verification.
 
 Of two sets with a similarity of 0.8 or more, each has at least four fifths of its shingles in the other. So in any
 order of all shingles they share one of their first n - ceil(0.8 n) + 1, and only these become keys. The order is that
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bloom, connected_components, cut, forget, mapped, passes, slices
 from .words import mixed, word_hashes
 
@@ -215,6 +219,16 @@ def _in_blocks(crowded: DataFrame, told: DataFrame) -> DataFrame:
     return cut(rows.groupBy("x", "y").applyInArrow(_compare, "a long, b long"))
 
 
+def _offered(ids: DataFrame) -> DataFrame:
+    """(a, b): nodes that SimHash offers as alike, a < b. ids: (node, fp); of equal fingerprints one stands for all."""
+    values = cut(ids.groupBy("node").agg(F.min("fp").alias("fp")))
+    hubs = cut(values.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = values.join(hubs, "fp").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = simhash.candidates(hubs.select("fp"))
+    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    return cut(same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), a row for each row of docs: the least id reachable over pairs of texts whose sets of five-word
     shingles have a Jaccard similarity of 0.8 or more.
@@ -229,10 +243,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end in slices(b, 0):
-                own = nodes([x or b"" for x in b.column(0).slice(first, end - first).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, end - first), pa.array(own.view(np.int64))], ["doc_id", "node"])
+                own = [x or b"" for x in b.column(0).slice(first, end - first).to_pylist()]
+                prints = np.fromiter(map(simhash.fingerprint, own), np.uint64, len(own))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, end - first), *(pa.array(x.view(np.int64)) for x in (nodes(own), prints))], ["doc_id", "node", "fp"])
 
-    ids = cut(chosen.transform(mapped, named, f"doc_id {kind}, node long"))
+    ids = cut(chosen.transform(mapped, named, f"doc_id {kind}, node long, fp long"))
+    offered = _offered(ids)
+    forget(spark)
 
     def keys(common: np.ndarray) -> DataFrame:
         sent = spark.sparkContext.broadcast(common)
@@ -274,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     central = near.groupBy("key").agg(F.max(F.struct("known", "node")).getField("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
     near = cut(near.join(central, "key").drop("known"))
     hubs = near.where("node = hub").drop("hub", "size").alias("y")
-    tried = near.where("node != hub").alias("x").join(hubs, "key").where(_may("x", "y")).select(F.least("y.node", "x.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    tried = near.where("node != hub").alias("x").join(hubs, "key").where(_may("x", "y")).select(F.least("y.node", "x.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).union(offered).distinct()
     tried = cut(_kept(_with_both(tried, marks, "mark"), _bound))
     forget(spark)
     links = cut(_kept(_with_both(tried, _told(texts, _ends(tried).distinct(), 2 * tried.count()), "text"), _alike))

@@ -101,3 +101,19 @@ def test_documents_with_nulls_clashing_columns_and_no_rows(spark):
     want = [(4, same, 2), (2, same, 2), (2, same, 2), (None, same, 2), (9, "0" * 16, 8), (8, "0" * 16, 8)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_candidates_are_all_that_meet(spark, monkeypatch):
+    found = sorted(set(values(4)))
+    distinct = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in found], "fp long")
+    ends = [64 * i // 6 for i in range(7)]
+    agree = lambda x: sum(not x >> a & (1 << b - a) - 1 for a, b in zip(ends, ends[1:]))
+    wanted = {frozenset((a, b)) for a in found for b in found if a < b and agree(a ^ b) >= 2 and (a ^ b).bit_count() <= 12}
+    assert {frozenset((a, b)) for a in found for b in found if a < b and (a ^ b).bit_count() <= 4} <= wanted
+    monkeypatch.setattr(simhash, "MEETING", 64)
+    got = simhash.candidates(distinct).collect()
+    assert {frozenset((r.a % 2**64, r.b % 2**64)) for r in got} == wanted and len(got) == len(wanted)
+    monkeypatch.setattr(simhash, "MEETING", 1)
+    fewer = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.candidates(distinct).collect()}
+    assert fewer and fewer <= wanted and len(fewer) < len(found)
+    assert simhash.candidates(distinct.limit(0)).count() == 0

@@ -66,3 +66,26 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch, crowded, block)
     assert 5 < len({*root.values()}) < 130
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()} == root
+
+
+@pytest.mark.parametrize("meeting", [64, 1])
+def test_simhash_offers_texts_that_are_verified(spark, monkeypatch, meeting):
+    """Without the pairs of the join: what fingerprints of at most four bits apart offer is linked where it is similar enough, and
+    nothing else is; with the join all is, however few pairs the fingerprints offer."""
+    monkeypatch.setattr(similar.simhash, "MEETING", meeting)
+    texts = corpus(4)
+    own, prints = [sets(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if (not own[a] and not own[b]) or 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    near = [(a, b) for a, b in alike if (prints[a] ^ prints[b]).bit_count() <= 4]
+    copies = [(a, b) for a, b in near if (texts[a] or "").lower().split() == (texts[b] or "").lower().split()]
+    assert len(copies) < len(near) < len(alike)
+    root = roots(range(len(texts)), alike)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stage = lambda: {r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()}
+    assert stage() == {*root.values()}
+    monkeypatch.setattr(similar, "_may", lambda x, y: similar.F.lit(False))
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
+    assert all(root[got[i]] == root[i] for i in got)
+    if meeting > 1:
+        assert all(got[a] == got[b] for a, b in near)
+    assert {*root.values()} <= {*got.values()} and len({*got.values()}) < len({*roots(range(len(texts)), copies).values()})
