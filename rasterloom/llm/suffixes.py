@@ -524,6 +524,8 @@ def _with_spans(docs: DataFrame, text: str, carried: list[Column], by_words: boo
     if passages:
         found = cut(found)
         forget(docs.sparkSession)
+        if not options.get("lasting"):  # levels that go at once needn't be merged
+            options["batches"] = 1
         found = found.join(_passages(docs, text, **options).withColumnRenamed("spans", "passages"), ["id1", "id2"], "full")
     found = found.select(F.col("id1").alias("__id1"), F.col("id2").alias("__id2"), F.col("spans").alias("__spans"), *[F.col("passages").alias("__passages")] * passages)
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

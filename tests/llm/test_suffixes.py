@@ -161,3 +161,18 @@ def test_passages_are_whole_documents(spark):
     df = spark.createDataFrame([(1, text + "\n"), (2, "\t" + text), (3, " "), (4, text[:-3])], "doc_id long, text string")
     stage = __import__("corpus_pipeline").suffix_stage(spark, df, "")
     assert {r.doc_id: r.text for r in stage.collect()} == {3: " ", 4: text[:-3]}
+
+
+def test_query_tells_passages_of_over_fifty_words(spark, tmp_path):
+    """Those of under 400 bytes too, which stay as the contract removes strings of 400 bytes only."""
+    from rasterloom.llm import queries
+
+    passage, long = " ".join(f"w{i}" for i in range(60)), " ".join(f"word{i:04}" for i in range(60))
+    texts = [f"a {passage} b", f"c\n{passage} d e", f"f {long} g", f"h {long} i", passage[:150], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_suffix_dedup(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(passage) < suffixes.LENGTH and [tuple(rows[i])[1:5] for i in range(6)] == brute(texts, suffixes.LENGTH)
+    assert [rows[i].n_removed > 0 for i in range(6)] == [False, False, True, True, False, False]
+    assert [rows[i].n_passage_words for i in range(6)] == [60, 60, 60, 60, 0, 0]
