@@ -588,6 +588,9 @@ def clean_texts(docs: DataFrame, *, text: str = "text", length: int = LENGTH, ke
     def left(data, spans):
         return data.combine(spans, lambda d, s: _kept(bytes(d), bytes(s) if s is not None else None)[0].decode("utf-8", "ignore"))
 
+    # Nondeterministic in name only: else a filter on the text is pushed below it and has it run a second time, in a second
+    # worker beside each task's own, and Spark keeps idle workers as long as others are in use.
+    left = left.asNondeterministic()
     done = rows.withColumn("__left", F.when(F.col("__spans").isNull(), F.col("__data").cast("string")).otherwise(left("__data", "__spans")))
     out = []
     for c in docs.columns:

@@ -118,6 +118,15 @@ def test_stages_with_clashing_columns_and_nulls(spark, tables):
     assert corpus_pipeline.packing_stage(spark, docs.limit(0), at).count() == 0
 
 
+def test_a_filter_on_clean_texts_has_them_cleaned_once(spark):
+    """Twice means a second worker for each task, which Spark then keeps."""
+    docs = spark.createDataFrame([(1, "a passage " * 60, 600), (2, "a passage " * 60 + "own", 603), (3, None, None), (4, "", 0)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.suffix_stage(spark, docs, "")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(2, "own", 3), (3, None, None), (4, "", 0)]
+
+
 def test_run_on_empty_tables(spark, tmp_path, tables):
     at, _ = tables
     for name in ("documents", "labels", "benchmark"):

@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import similar
+from rasterloom.llm import similar, words
 
 from .test_simhash import brute_fingerprint, roots
 
@@ -89,3 +90,17 @@ def test_simhash_offers_texts_that_are_verified(spark, monkeypatch, meeting):
     if meeting > 1:
         assert all(got[a] == got[b] for a, b in near)
     assert {*root.values()} <= {*got.values()} and len({*got.values()}) < len({*roots(range(len(texts)), copies).values()})
+
+
+def test_hashing_words_holds_few_times_the_text(monkeypatch):
+    texts = [(b"x" * 900 + b" ") * 1000, b"", b"y" * 300_000 + b" z", b"one two  three " * 2000] * 2
+    words._powers.cache_clear()
+    tracemalloc.start()
+    hashes, starts = words.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert starts.tolist() == [0, 1000, 1000, 1002, 7002, 8002, 8002, 8004, 14004]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(words, "PIECE", size)
+        assert (words.word_hashes(texts)[0] == hashes).all()
