@@ -1,5 +1,7 @@
 """The coder for many intervals at once against the one for a single interval."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,19 @@ def test_damaged_files_give_the_same_errors(monkeypatch):
     got = [x.code if isinstance(x, StreamError) else x[1] for x in c.decode_many(files)]
     assert got == want and len({x for x in want if not isinstance(x, bytes)}) > 3
     assert c.decode_many([]) == []
+
+
+def _peak(f):
+    """What f gives, and the MB that were taken at most meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_coding_does_not_grow_with_the_batch():
+    rng = np.random.default_rng(5)
+    data = [rng.integers(32, 127, 64 * 60, np.uint8).tobytes() for _ in range(500)]
+    _, peak = _peak(lambda: c.encode_many([(x, 64, 60, 8, 1, c.Options(), 0) for x in data]))
+    assert peak < 120
