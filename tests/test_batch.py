@@ -98,3 +98,27 @@ def test_memory_of_coding_does_not_grow_with_the_batch():
     data = [rng.integers(32, 127, 64 * 60, np.uint8).tobytes() for _ in range(500)]
     _, peak = _peak(lambda: c.encode_many([(x, 64, 60, 8, 1, c.Options(), 0) for x in data]))
     assert peak < 120
+
+
+def test_bits_of_many_intervals_are_held_once():
+    rng = np.random.default_rng(6)
+    parts = [batch.Part(rng.integers(0, 128 if i % 2 else 256, 4000, np.uint8).tobytes(), 1, 1, batch.Kind(8, 1, 0, 0, Preset())) for i in range(500)]
+    (window, first, end), peak = _peak(lambda: batch._windows(parts))
+    for p, a, b in zip(parts, first.tolist(), end.tolist(), strict=True):
+        bits = scan.bits_of(p.data)
+        assert b - a == len(bits) and f"{int(window[a // 8]):064b}" == bits[:64]
+    assert peak < 12 * 2  # MB, of 2 MB of data: eight bytes a byte, and the data twice
+
+
+def test_many_runs_decode_like_one():
+    """Runs of all lengths, to the end of their line or broken, in many intervals at once."""
+    rng = np.random.default_rng(7)
+    for near in (0, 2):
+        preset = scan.explicit_preset(Preset(), 8, near)
+        kind = batch.Kind(8, 1, 0, near, preset)
+        units = [np.repeat(rng.integers(0, 256, (1, 5, 200)), rng.integers(1, 90), axis=2)[:, :, :200].astype(np.int32) for _ in range(100)]
+        parts = [batch.Part(scan.encode(list(v), 8, 0, near, preset), 5, 200, kind) for v in units]
+        for v, got in zip(units, batch._decode(parts, kind), strict=True):
+            assert np.abs(got - v).max() <= near
+        cut = [batch.Part(p.data[: len(p.data) // 2], 5, 200, kind) for p in parts]
+        assert all(v is None for v in batch._decode(cut, kind))
