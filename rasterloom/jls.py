@@ -7,8 +7,9 @@ key column. `mode` "permissive" puts an error's number into error_code; "failfas
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import asdict
+from dataclasses import asdict, astuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -167,24 +168,67 @@ def intervals(df: DataFrame, *, key: str = "path", content: str = "content") ->
     return _rows(df, key, content, f"scan_index int, interval int, width int, height int, bits int, components int, mode int, near int, preset {_PRESET}, transform int, bits_data binary", parse)
 
 
+#: Samples of a scan that go to one task at least, if it has as many; samples that are decoded at a time.
+_PIECE, _TOGETHER = 1 << 14, 1 << 20
+
+
+def _pieces(df: DataFrame, key: str, content: str) -> DataFrame:
+    """As `intervals`, but a row for each stretch of them: `lines` of an interval, but for the last of `height` lines, and the sizes of their bytes."""
+
+    def parse(k: object, data: bytes) -> Iterator[tuple]:
+        r = Reader(data).all_segments()
+        for i, s in enumerate(r.scans):
+            parts = container.split_intervals(r, s)
+            lines, kind = parts[0].height, parts[0].kind
+            step = max(1, -(-_PIECE // (lines * r.width * kind.components)))
+            for j in range(0, len(parts), step):
+                own = parts[j : j + step]
+                sizes = np.fromiter((len(p.data) for p in own), "<i4", len(own)).tobytes()
+                yield k, i, j, r.width, sum(p.height for p in own), lines, r.bits, kind.components, s.mode, s.near, *astuple(kind.preset), r.transform, sizes, b"".join(p.data for p in own)
+
+    return _rows(df, key, content, f"scan_index int, interval int, {', '.join(f'{c} int' for c in _OF_PIECE)}, sizes binary, bits_data binary", parse)
+
+
+_OF_PIECE = ("width", "height", "lines", "bits", "components", "mode", "near", "maxval", "t1", "t2", "t3", "reset", "transform")
+
+
+def _decoded(pieces: list[tuple]) -> list[bytes]:
+    """The samples of each piece, given as its columns from width on."""
+    parts, counts = [], []
+    for w, h, lines, bits, n, mode, near, *preset, _, sizes, data in pieces:
+        kind = batch.Kind(bits, n, mode, near, scan.Preset(*preset))
+        to = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64).tolist()
+        parts += [batch.Part(data[a:b], min(lines, h - i * lines), w, kind) for i, (a, b) in enumerate(zip([0, *to[:-1]], to, strict=True))]
+        counts.append(len(to))
+    found, at, out = batch.decode_intervals(parts), 0, []
+    for (_, _, _, bits, n, mode, *_, transform, _, _), count in zip(pieces, counts, strict=True):
+        own, at = found[at : at + count], at + count
+        v = np.concatenate(own, axis=1) if len(own) > 1 else own[0]
+        if transform and mode and n == 3:
+            v = container.transform_inverse(v, transform, bits)
+        out.append(container.planes_to_bytes(v, bits, mode != 0))
+    return out
+
+
 def decode_distributed(df: DataFrame, *, key: str = "path", content: str = "content") -> DataFrame:
     """(key, data): as `decode`, but the parts of a file are decoded in different tasks; files of many scans or restart
-    intervals aren't bound to one worker. The shuffle moves compressed bytes only."""
-    parts = intervals(df, key=key, content=content).repartition(F.col(f"`{key}`"), "scan_index", "interval")
+    intervals aren't bound to one worker. Intervals go by stretches of some 16,384 samples, so small files stay whole."""
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number that is given isn't lowered by bytes: these are few next to the work
+    parts = _pieces(df, key, content).repartition(n, F.col(f"`{key}`"), "scan_index", "interval")
 
     @F.pandas_udf("binary")
-    def run(w: pd.Series, h: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series, near: pd.Series, p: pd.DataFrame, t: pd.Series, d: pd.Series) -> pd.Series:
-        out, parts = [], []
-        for i in range(len(w)):
-            preset = scan.Preset(*(int(p[k][i]) for k in ("maxval", "t1", "t2", "t3", "reset")))
-            parts.append(batch.Part(bytes(d[i]), int(h[i]), int(w[i]), batch.Kind(int(b[i]), int(n[i]), int(m[i]), int(near[i]), preset)))
-        for i, v in enumerate(batch.decode_intervals(parts)):
-            if t[i] and m[i] and n[i] == 3:
-                v = container.transform_inverse(v, int(t[i]), int(b[i]))
-            out.append(container.planes_to_bytes(v, int(b[i]), m[i] != 0))
-        return pd.Series(out, dtype=object)
+    def run(*columns: pd.Series) -> pd.Series:
+        out, held, size = [], [], 0
+        for piece in zip(*(c.tolist() for c in columns), strict=True):
+            held.append(piece)
+            size += piece[0] * piece[1] * piece[4]
+            if size >= _TOGETHER:
+                out += _decoded(held)
+                held, size = [], 0
+        return pd.Series(out + _decoded(held), dtype=object)
 
-    done = parts.select(key, "scan_index", "interval", run("width", "height", "bits", "components", "mode", "near", "preset", "transform", "bits_data").alias("data"))
+    done = parts.select(key, "scan_index", "interval", run(*_OF_PIECE, "sizes", "bits_data").alias("data"))
     ordered = F.array_sort(F.collect_list(F.struct("scan_index", "interval", "data")))
-    # A file's samples fit one row, as in the raster table
-    return done.groupBy(key).agg(ordered.alias("parts")).select(key, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data"))
+    # A file's samples fit one row, as in the raster table; joined as texts, as adding piece to piece would copy all before it each time
+    joined = F.when(F.size("parts") == 1, F.col("parts")[0]["data"]).otherwise(F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["data"])), "")))
+    return done.groupBy(key).agg(ordered.alias("parts")).select(key, joined.alias("data"))

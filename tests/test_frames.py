@@ -98,3 +98,13 @@ def test_command_line(tmp_path, capsys):
     assert pixels[0::3] + pixels[1::3] + pixels[2::3] == data
     assert cli.main(["benchmark", str(coded), "-n", "1"]) == 0 and "mean decode" in capsys.readouterr().out
     assert cli.main(["decode", str(source)]) == 1
+
+
+def test_distributed_decoding_moves_stretches_of_intervals(spark):
+    rng = np.random.default_rng(8)
+    frames = {1: (64, 2000, 8, 1, Options(restart_interval=5)), 2: (31, 900, 8, 3, Options(mode=2, transform=1, restart_interval=7)), 3: (20, 700, 12, 3, Options(mode=1, restart_interval=3)), 4: (9, 2500, 8, 2, Options(restart_interval=100)), 5: (3, 2, 8, 1, Options())}
+    raw = {k: (rng.integers(0, 1 << b, w * h * n).astype("u1" if b == 8 else "<u2").tobytes()) for k, (w, h, b, n, _) in frames.items()}
+    df = spark.createDataFrame([(k, c.encode(raw[k], *frames[k])) for k in frames], "path int, content binary")
+    assert {r.path: bytes(r.data) for r in jls.decode_distributed(df).collect()} == raw
+    rows = {r.path: r["count"] for r in jls._pieces(df, "path", "content").groupBy("path").count().collect()}
+    assert rows[1] == 8 and rows[4] == 4 and rows[5] == 1 and all(n < jls.intervals(df).where(f"path = {k}").count() for k, n in rows.items() if k != 5)
